@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomeworks.llm import bpe, langid, packing, winnow
+from tomeworks.llm import bpe, langid, neardup, packing, pii, winnow
 from tomeworks.session import attach
 
 
@@ -18,11 +18,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(table(spark, sf_dir, "documents"), pii.fit())
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -32,7 +40,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_langid, op8_bpe, op9_winnowing)}
+    return {f.__name__: f for f in (op1_packing, op3_pii, op4_langid, op6_neardup, op8_bpe, op9_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
