@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomeworks.llm import bpe, langid, neardup, packing, pii, winnow
+from tomeworks.llm import bpe, langid, neardup, packing, pii, toxicity, winnow
 from tomeworks.session import attach
 
 
@@ -31,6 +31,11 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_pii, op4_langid, op6_neardup, op8_bpe, op9_winnowing)}
+    return {f.__name__: f for f in (op1_packing, op3_pii, op4_langid, op6_neardup, op7_toxicity, op8_bpe, op9_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
