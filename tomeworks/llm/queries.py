@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomeworks.llm import bpe, langid, neardup, packing, pii, toxicity, winnow
+from tomeworks.llm import ann, bpe, langid, lattice, neardup, packing, pii, toxicity, urls, winnow
 from tomeworks.session import attach
 
 
@@ -18,6 +18,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.classify(pages, urls.fit(pages))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redacted(table(spark, sf_dir, "documents"), pii.fit())
 
@@ -27,6 +32,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op5_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"))
+
+
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,8 +53,12 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_pii, op4_langid, op6_neardup, op7_toxicity, op8_bpe, op9_winnowing)}
+    return {f.__name__: f for f in (op1_packing, op2_urls, op3_pii, op4_langid, op5_likelihood, op6_neardup, op7_toxicity, op8_bpe, op9_winnowing, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
