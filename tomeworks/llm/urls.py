@@ -27,6 +27,8 @@ MIN_SHARE = 2e-5
 #: Counts that a word of the labelled table has at least, as a share of all words.
 SEED_SHARE = 1e-4
 SMOOTHING = 0.5
+#: Share of URLs that are expected to be unwanted; the categories of the labelled table share it in proportion to their rows.
+UNWANTED = 0.1
 FIELDS = ["host", "host_words", "path_words", "category", "score", "blocked"]
 OK = "ok"
 _URL = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://)?(?:[^/?#@\s]*@)?(\[[^\]]*\]|[^/?#:\s]*)(?::\d*)?([^?#]*)")
@@ -127,9 +129,9 @@ class Model:
             _, host, path = self.segment(url, known)
             counts.setdefault(category, Counter()).update([*host, *path])
         vocabulary = {w for c in counts.values() for w in c if w in seeds}
-        total = sum(n.values())
+        bad = sum(v for c, v in n.items() if c != OK)
         self.categories = sorted(n)
-        self.prior = {c: math.log(n[c] / total) for c in self.categories}
+        self.prior = {c: math.log(1 - UNWANTED if c == OK else UNWANTED * n[c] / bad) for c in self.categories}
         self.weight = {}
         for c in self.categories:
             size = sum(v for w, v in counts[c].items() if w in vocabulary) + SMOOTHING * len(vocabulary)
