@@ -137,3 +137,40 @@ def word_hashes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         h = (total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64)
     counts = np.searchsorted(starts, off[1:]) - np.searchsorted(starts, off[:-1])
     return mix64(h), counts
+
+
+#: Bits of a Maybe for each key, and the most bits it has (16 MB), however many keys there are.
+BITS_A_KEY, MOST_BITS = 16, 1 << 27
+
+
+class Maybe:
+    """A Bloom filter over ids. With more keys than it has room for it lets more through, which costs time and nothing else."""
+
+    def __init__(self, ids: DataFrame, name: str):
+        """ids must be cheap to read again. Bits are set in Spark, word by word; at most MOST_BITS come to the driver."""
+        n = ids.count()
+        self.bits = 64
+        while self.bits < min(MOST_BITS, BITS_A_KEY * n):
+            self.bits *= 2
+        key = F.xxhash64(col(ids, name), F.lit(99))
+        # two positions from one hash, so both sides only need its halves
+        spots = ids.select(F.explode(F.array(key, F.shiftrightunsigned(key, 32))).alias("h")).select(F.pmod("h", F.lit(self.bits)).alias("at"))
+        words = spots.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("mask")).toArrow()
+        table = np.zeros(self.bits // 64, np.int64)
+        if words.num_rows:
+            table[words["word"].to_numpy()] = words["mask"].to_numpy()
+        self.table = ids.sparkSession.sparkContext.broadcast(table.view(np.uint64))  # at most MOST_BITS / 8 bytes
+
+    def has(self, column: Column) -> Column:
+        """Whether the id may be one of the keys; false for null."""
+        table, bits = self.table, self.bits
+
+        def call(array: pa.Array) -> pa.Array:
+            key = pc.fill_null(array, 0).to_numpy(zero_copy_only=False)
+            ok = np.ones(len(key), bool)
+            for h in (key, (key.view(np.uint64) >> np.uint64(32)).astype(np.int64)):
+                at = np.mod(h, bits)
+                ok &= (table.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            return pa.array(ok & array.is_valid().to_numpy(zero_copy_only=False))
+
+        return row_udf(call, "boolean")(F.when(column.isNotNull(), F.xxhash64(column, F.lit(99))))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tomeworks.llm.common import col, lists, mix64, row_udf, struct, word_hashes
+from tomeworks.llm.common import Maybe, col, free_name, lists, mix64, row_udf, struct, word_hashes
 from tomeworks.llm.graph import components
 from tomeworks.session import discard, stored
 
@@ -282,8 +282,9 @@ def duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold: flo
     members = members.repartition(F.col("bucket")).sortWithinPartitions("bucket", "id")
     edges, edges_at = stored(members.mapInArrow(_linked(threshold - MARGIN), "a bigint, b bigint").distinct(), "pairs")
     linked, linked_at = components(edges)
-    # an id may stand for several texts; each text that names it is compared
-    texts = rows.join(linked.withColumnRenamed("node", "id"), "id")
+    # an id may stand for several texts; each text that names it is compared. Texts of others aren't moved
+    there = Maybe(linked, "node")
+    texts = rows.withColumn("_maybe", there.has(F.col("id"))).filter("_maybe").drop("_maybe").join(linked.withColumnRenamed("node", "id"), "id")
     sets = texts.select("component", "id", row_udf(_sets, "binary")("text").alias("words")).filter(F.length("words") > 0).dropDuplicates(["id", "words"])
     sets = sets.repartition(F.col("component")).sortWithinPartitions("component", "id")
     first = sets.mapInArrow(_resolved(threshold), "id bigint, first bigint").groupBy("id").agg(F.min("first").alias("first"))
@@ -299,9 +300,14 @@ def keep(docs: DataFrame, id_col="doc_id", text_col="text", threshold: float = T
 
     Rows with a null id and texts without words stay.
     """
-    gone = duplicates(docs, id_col, text_col, threshold).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, col(docs, id_col) == F.col("_gone"), "left_anti")
-    again = docs.filter(col(docs, id_col).isNotNull()).groupBy(col(docs, id_col).alias("_again")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_again")
+    gone, _ = stored(duplicates(docs, id_col, text_col, threshold).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    ids = docs.filter(col(docs, id_col).isNotNull()).groupBy(col(docs, id_col).alias("_again")).agg(F.count("*").alias("_n"))
+    again, _ = stored(ids.filter("_n > 1").select("_again"), "again")
+    drop, name = Maybe(gone, "_gone"), free_name(docs, "_maybe")
+    mark = docs.withColumn(name, drop.has(col(docs, id_col).cast("bigint")))
+    sure = mark.filter(~F.col(name)).drop(name)
+    left = mark.filter(F.col(name)).drop(name)
+    left = sure.unionByName(left.join(gone, col(left, id_col) == F.col("_gone"), "left_anti"))
     if not again.limit(1).count():
         return left
     single = left.join(again, col(left, id_col) == F.col("_again"), "left_anti")
