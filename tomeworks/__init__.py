@@ -1 +1,3 @@
 """A Spark-native engine for text corpora."""
+
+__version__ = "0.1.0"

@@ -43,10 +43,10 @@ def payload(endpoint: str, text: str) -> dict:
     return {"message": f"Please analyze this content: {text}"} if endpoint == "chat" else {"content": text}
 
 
-def send(text: str, base_url: str, endpoint: str = "train", transport: Transport = http) -> dict:
-    """The service's answer; RuntimeError unless its status is 200."""
+def send(text: str, base_url: str, endpoint: str = "train", transport: Transport = http, token: str | None = None) -> dict:
+    """The service's answer; RuntimeError unless its status is 200. The token is the environment's unless one is given."""
     body = payload(endpoint, text)
-    status, answer = transport(f"{base_url.rstrip('/')}/{endpoint}", {"x-access-tokens": _token()}, body, TIMEOUT)
+    status, answer = transport(f"{base_url.rstrip('/')}/{endpoint}", {"x-access-tokens": token or _token()}, body, TIMEOUT)
     if status != 200:
         raise RuntimeError(f"{endpoint} answered {status}: {answer[:200]}")
     return json.loads(answer)
@@ -77,13 +77,14 @@ def accepted(answer: Column) -> Column:
 def sent(documents: DataFrame, base_url: str, endpoint: str = "train", transport: Transport = http) -> DataFrame:
     """(rel_path, answer, error, ok) of (rel_path, content): executors send, one document after the other."""
     payload(endpoint, "")
+    token = _token()  # read here, as executors have an environment of their own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             answers, errors = [], []
             for text in b["content"].to_pylist():
                 try:
-                    answers.append(json.dumps(send(text or "", base_url, endpoint, transport)))
+                    answers.append(json.dumps(send(text or "", base_url, endpoint, transport, token)))
                     errors.append(None)
                 except (RuntimeError, OSError, ValueError) as e:
                     answers.append(None)
