@@ -2,7 +2,10 @@
 
 Each language has a raw-content zstandard dictionary made of sample texts; a text belongs to the language
 whose dictionary encodes it in the fewest bytes. Texts are cut into blocks so that a dictionary's advantage
-doesn't fade in long texts, which soon serve as their own dictionary; every block of every text counts.
+doesn't fade in long texts, which soon serve as their own dictionary; every block of every text counts. A block
+follows a few bytes that always compress, as zstandard stores what it can't shrink, and short texts would all cost the same.
+
+Where two languages come close, the text is coded again with more effort and shorter matches.
 """
 
 from __future__ import annotations
@@ -21,7 +24,10 @@ SAMPLE_ROWS = 300
 #: Bytes of a dictionary; all languages have the same number, the least that any language can fill.
 DICT_BYTES = 112_000
 BLOCK = 2048
-LEVEL = 6
+#: Effort, and shortest match if one is set; the second is for texts whose margin is under RECHECK.
+EFFORT, MORE_EFFORT = (6, None), (12, 3)
+RECHECK = 0.1
+CARRIER = bytes(64)
 #: A text is rejected if the second best language needs less than this share more bytes than the best.
 MIN_MARGIN = 0.01
 FIELDS = ["lang_pred", "margin", "accepted"]
@@ -66,35 +72,46 @@ def dictionaries(by: dict[str, list[str]], dict_bytes: int = DICT_BYTES) -> dict
 def sizes(data: bytes, compressors: list, block: int = BLOCK) -> list[int]:
     out = [0] * len(compressors)
     for i in range(0, len(data), block):
-        piece = data[i : i + block]
+        piece = CARRIER + data[i : i + block]
         for k, c in enumerate(compressors):
             out[k] += len(c.compress(piece))
     return out
 
 
-def compressors(dicts: dict[str, bytes], level: int = LEVEL) -> list:
+def compressors(dicts: dict[str, bytes], level: int, shortest: int | None) -> list:
     out = []
     for raw in dicts.values():
         d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=level)
-        out.append(zstandard.ZstdCompressor(dict_data=d, level=level, write_content_size=False, write_checksum=False, write_dict_id=False))
+        own = {"min_match": shortest} if shortest else {}
+        p = zstandard.ZstdCompressionParameters.from_level(level, source_size=BLOCK, dict_size=len(raw), write_content_size=False, write_checksum=False, write_dict_id=False, **own)
+        d.precompute_compress(compression_params=p)
+        out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p))
     return out
 
 
-def classify(text: str | None, names: list[str], coders: list, min_margin: float = MIN_MARGIN, block: int = BLOCK) -> tuple[str, float, bool]:
+def coders_of(dicts: dict[str, bytes]) -> list[list]:
+    """Compressors of each language, for each effort."""
+    return [compressors(dicts, *e) for e in (EFFORT, MORE_EFFORT)]
+
+
+def classify(text: str | None, names: list[str], coders: list[list], min_margin: float = MIN_MARGIN, block: int = BLOCK) -> tuple[str, float, bool]:
     """(language, margin, accepted); ("und", 0, False) for null, empty or blank text or without languages.
 
     With one language only, the margin is 1: there is no other. A tie goes to the name first in order, with margin 0.
     """
-    data = (text or "").strip().casefold().encode()
-    if not data or not names:
+    words = (text or "").strip()
+    if not words or not names:
         return "und", 0.0, False
     if len(names) == 1:
         return names[0], 1.0, True
-    got = sizes(data, coders, block)
-    order = sorted(range(len(names)), key=lambda k: (got[k], k))
-    best, second = got[order[0]], got[order[1]]
-    margin = (second - best) / second
+    data = f" {words} ".casefold().encode()
+    for coder in coders:
+        got = sizes(data, coder, block)
+        order = sorted(range(len(names)), key=lambda k: (got[k], k))
+        best, second = got[order[0]], got[order[1]]
+        margin = (second - best) / second
+        if margin >= RECHECK:
+            break
     return names[order[0]], margin, margin >= min_margin
 
 
@@ -105,7 +122,7 @@ def udf(dicts: dict[str, bytes], min_margin: float = MIN_MARGIN, block: int = BL
     def call(array: pa.Array) -> pa.Array:
         kept = worker_cache(key)
         if "coders" not in kept:
-            kept["coders"] = compressors(dicts)
+            kept["coders"] = coders_of(dicts)
         coders = kept["coders"]
         rows = [classify(t, names, coders, min_margin, block) for t in texts(array)]
         lang, margin, ok = zip(*rows) if rows else ((), (), ())
