@@ -26,9 +26,9 @@ from tomeworks.llm.common import col, expand, filter_by, row_udf, struct, worker
 MIN_SHARE = 2e-5
 #: Counts that a word of the labelled table has at least, as a share of all words.
 SEED_SHARE = 1e-4
-SMOOTHING = 0.5
+SMOOTHING = 0.1
 #: Share of URLs that are expected to be unwanted; the categories of the labelled table share it in proportion to their rows.
-UNWANTED = 0.1
+UNWANTED = 0.25
 FIELDS = ["host", "host_words", "path_words", "category", "score", "blocked"]
 OK = "ok"
 _URL = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://)?(?:[^/?#@\s]*@)?(\[[^\]]*\]|[^/?#:\s]*)(?::\d*)?([^?#]*)")
@@ -52,7 +52,7 @@ def words_in(text: str) -> list[str]:
 
 
 @functools.cache
-def training_rows(n: int = 400, seed: int = 5) -> tuple[tuple[str, str], ...]:
+def training_rows(n: int = 800, seed: int = 5) -> tuple[tuple[str, str], ...]:
     """A small labelled table of (url, category): invented hosts and paths, words joined or apart."""
     rnd = random.Random(seed)
     good = WORDS[OK].split()
@@ -68,7 +68,7 @@ def training_rows(n: int = 400, seed: int = 5) -> tuple[tuple[str, str], ...]:
     return tuple(rows)
 
 
-def training_table(spark: SparkSession, n: int = 400, seed: int = 5) -> DataFrame:
+def training_table(spark: SparkSession, n: int = 800, seed: int = 5) -> DataFrame:
     """training_rows() as a table (url, category)."""
     return spark.createDataFrame(list(training_rows(n, seed)), "url string, category string")
 
