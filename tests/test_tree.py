@@ -109,6 +109,13 @@ def test_combined(spark, tree, tmp_path):
     assert sorted(os.path.relpath(m, tmp_path / "un") for m in made) == ["_hidden/__init__.py", "sub/helper.py"] or len(made) == 3
 
 
+def test_older_form(spark, tree, tmp_path):
+    text = open(api.concatenate(spark, tree, str(tmp_path / "o.txt"))).read()
+    assert text.startswith("---\nFilename: ") and "Filename: build/out.py\n" in text and "nb.ipynb" in text and "broken.py" not in text and "doc.qmd" not in text
+    api.strip_outputs(spark, os.path.join(tree, "nb.ipynb"))
+    assert json.load(open(os.path.join(tree, "nb.ipynb")))["cells"][0]["outputs"] == [] and not api.validate(str(tmp_path / "o.txt"))
+
+
 def test_targets(spark):
     assert write.inside("../x") is None and write.inside("/x") is None and write.inside("a/../../x") is None and write.inside("a/../b") == "b" and write.inside("..a") == "..a" and write.inside("a\\b") == "a/b"
     rows = spark.createDataFrame([("d/a.py", True), ("Makefile", True), (".gitignore", True), ("b.py", False)], "p string, e boolean")

@@ -9,7 +9,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeworks.functions import docx, html, images, report
+from tomeworks.functions import cells, docx, html, images, report
 from tomeworks.functions.text import as_text
 from tomeworks.operators import chunk, ingest, parse, render, select, write
 from tomeworks.sources.tree import read_archive, relative, scan
@@ -79,6 +79,21 @@ def split_file(spark: SparkSession, path: str, folder: str, max_words=chunk.MAX_
     return out
 
 
+def strip_outputs(spark: SparkSession, path: str) -> str:
+    """Rewrite a notebook without the outputs of its code cells; its path."""
+    row = scan(spark, os.path.dirname(os.path.abspath(path)), explicit=[os.path.basename(path)]).select(cells.strip_outputs(as_text(F.col("content"))).alias("t")).first()
+    if row is not None and row.t is not None:
+        _save(path, row.t, False)
+    return path
+
+
+def validate(path: str) -> bool:
+    """Whether an archive holds a table of contents and a section for language models."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    return "TABLE OF CONTENTS" in text and render.LLM in text
+
+
 def split_directory(spark: SparkSession, directory: str, folder: str, max_words=chunk.MAX_WORDS) -> list[str]:
     names = sorted(n for n in os.listdir(directory) if os.path.isfile(os.path.join(directory, n)))
     return [p for n in names for p in split_file(spark, os.path.join(directory, n), folder, max_words)]
@@ -111,8 +126,8 @@ def extract_notebooks(spark: SparkSession, archive_path: str, output: str, repla
 
 
 def concatenate(spark: SparkSession, directory: str, output: str, file_types=select.PLAIN_TYPES, replace=True) -> str:
-    """The older form of an archive: sections alone; notebooks are taken whatever the types."""
-    rows = scan(spark, directory, everything=True).filter(select.extension(F.col("rel_path")).isin(*file_types, ".ipynb") & (F.decode(F.lit(b""), "UTF-8").isNotNull()))
+    """The older form of an archive: sections alone. Notebooks are taken whatever the types, no folder is left out, files that aren't UTF-8 are."""
+    rows = scan(spark, directory, everything=True).filter(select.extension(F.col("rel_path")).isin(*file_types, ".ipynb") & F.is_valid_utf8(F.col("content").cast("string")))
     made = render.concatenated(_one(render.converted(rows))).collect()
     if replace or not os.path.exists(output):
         _save(output, made[0].text if made else "", False)

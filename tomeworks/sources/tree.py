@@ -64,7 +64,7 @@ class _Reader(DataSourceReader):
                 seen.add(os.path.realpath(path))
                 yield path, relative(path, self.base), True
         for folder, dirs, files in os.walk(self.base):
-            dirs[:] = sorted(d for d in dirs if d not in self.exclude) if self.recurse else []
+            dirs[:] = sorted(d for d in dirs if self.everything or d not in self.exclude) if self.recurse else []
             for name in sorted(files):
                 path = os.path.join(folder, name)
                 rel = relative(path, self.base)
