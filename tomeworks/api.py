@@ -203,8 +203,9 @@ def convert_html(spark: SparkSession, path: str, output: str | None = None, meth
 
 def extract_report(path: str, sections: list[int] | None = None, strict=False, form="yaml") -> str:
     """One report's extract as text. Tables of reports go through functions.report."""
-    with open(path, encoding="utf-8", errors="replace") as f:
-        return report.FORMATS[form](report.extract(f.read(), sections, strict))
+    with open(path, "rb") as f:
+        page = f.read().decode("utf-8", "replace")
+    return report.FORMATS[form](report.extract(page, sections, strict))
 
 
 def archive_and_ingest(spark: SparkSession, directory: str, output: str, base_url: str, endpoint="train", method="auto", remove=False, transport=ingest.http, split=False, split_dir: str | None = None, llm=True, max_words=chunk.INGEST_WORDS, **options) -> dict:

@@ -51,7 +51,7 @@ def build() -> argparse.ArgumentParser:
     p.add_argument("--rm-archive", action="store_true", help="delete the archive afterwards")
     sending(p)
     p = command("ingest", "send one document to a service")
-    p.add_argument("--file", required=True, help="the document")
+    p.add_argument("--file", help="the document", required=True)
     sending(p)
     p = command("unpack", "write an archive's files")
     p.add_argument("archive_file")
@@ -124,8 +124,7 @@ def run(argv: list[str] | None = None, spark=None) -> int:
             return 1
         text = api.extract_report(a.html_file, wanted, a.strict, a.format)
         if a.output:
-            with open(a.output, "w", encoding="utf-8") as f:
-                f.write(text)
+            api._save(a.output, text, False)
         else:
             print(text)
         return 0

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from tomeworks.functions.arrow import udf
 
 QUOTES = '"""'
+PYTHON = "3.10.0"
+FAILED = "# Error processing notebook: {}\n\n"
 HEADS = {"code": "# Cell ", "markdown": "# Markdown Cell ", "raw": "# Raw Cell "}
 _R_SIGNS = re.compile(r"\blibrary\(|\bpacman::p_load\(|\btidyverse\b|\btidymodels\b|\btar_load\(")
-_FENCE = re.compile(r"(`{3,})\s*\{([^}]*)\}\s*")
+_FENCE = re.compile(r"(?P<ticks>`{3,})\s*\{(?P<head>[^}]*)\}\s*")
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
 
 
@@ -26,16 +28,21 @@ def kind_of(line: str) -> str | None:
     return next((kind for kind, head in HEADS.items() if line.startswith(head)), None)
 
 
+def trimmed(lines: list[str]) -> list[str]:
+    """Lines without blank ones at the end."""
+    last = max((i for i, line in enumerate(lines, 1) if line.strip()), default=0)
+    return lines[:last]
+
+
 def scan(text: str) -> list[tuple[str, list[str]]]:
     """(kind, lines) of each cell. Blocks without quotes on the next line don't count, nor does code without content."""
     out: list[tuple[str, list[str]]] = []
     kind, body, state = None, [], "out"
 
     def close():
-        while body and not body[-1].strip():
-            body.pop()
-        if body:
-            out.append(("code", list(body)))
+        code = trimmed(body)
+        if code:
+            out.append(("code", code))
 
     for line in text.splitlines():
         if state == "block":
@@ -78,9 +85,10 @@ def render(cells: list[tuple[int, str, str]]) -> str:
 
 def kernel(name: str) -> dict:
     """Notebook metadata for a kernel's name."""
-    if name in ("ir", "r_env") or name.startswith("r_"):
-        return {"kernelspec": {"display_name": name, "language": "R", "name": name}, "language_info": {"name": "R"}}
-    return {"kernelspec": {"display_name": name, "language": "python", "name": name}, "language_info": {"name": "python", "version": "3.10.0"}}
+    r = name.startswith("r_") or name == "ir"
+    language = "R" if r else "python"
+    about = dict(name=language) if r else dict(name=language, version=PYTHON)
+    return dict(kernelspec=dict(display_name=name, language=language, name=name), language_info=about)
 
 
 def kernel_named_in(text: str) -> str | None:
@@ -117,10 +125,8 @@ def notebook(text: str, name: str | None = None) -> dict | None:
             return None
     cells = []
     for kind, body in scan(text):
-        cell: dict = {"cell_type": kind, "metadata": {}, "source": [line + "\n" for line in body]}
-        if kind == "code":
-            cell = {"cell_type": kind, "execution_count": None, "metadata": {}, "outputs": [], "source": cell["source"]}
-        cells.append(cell)
+        extra = {"code": [("execution_count", None)]}.get(kind, []), {"code": [("outputs", [])]}.get(kind, [])
+        cells.append(dict([("cell_type", kind), *extra[0], ("metadata", {}), *extra[1], ("source", [line + "\n" for line in body])]))
     return {"cells": cells, "metadata": detect_kernel(text, name), "nbformat": 4, "nbformat_minor": 5}
 
 
@@ -145,7 +151,7 @@ def notebook_text(content: str) -> str | None:
     try:
         return render([(n, kind, s) for n, (kind, s) in enumerate(cells_of(nb), 1) if s.strip()])
     except (AttributeError, TypeError) as e:
-        return f"# Error processing notebook: {e}\n\n"
+        return FAILED.format(e)
 
 
 def without_outputs(content: str) -> str | None:
@@ -161,7 +167,7 @@ def without_outputs(content: str) -> str | None:
             if cell.get("cell_type") == "code":
                 cell["outputs"] = []
     except (AttributeError, TypeError) as e:
-        return f"# Error processing notebook: {e}\n\n"
+        return FAILED.format(e)
     return json.dumps(nb, indent=4)
 
 
@@ -209,10 +215,7 @@ def scan_databricks(text: str) -> list[tuple[str, list[str] | None]]:
             state = "out"
         elif state == "code":
             body.append(line)
-    for kind, lines in out:
-        while kind == "code" and lines and not lines[-1].strip():
-            lines.pop()
-    return out
+    return [(kind, trimmed(lines) if kind == "code" else lines) for kind, lines in out]
 
 
 def split_options(s: str) -> list[str]:
@@ -235,7 +238,7 @@ def split_options(s: str) -> list[str]:
 
 def chunk_header(inner: str) -> tuple[str, str | None, list[tuple[str, str]]]:
     """(language, label, options) of what is in a chunk's braces."""
-    m = re.match(r"([A-Za-z][\w-]*)\s*", inner.strip())
+    m = re.match(r"[A-Za-z][\w-]*", inner.strip())
     if m is None:
         return "r", None, []
     label, options = None, []
@@ -245,13 +248,13 @@ def chunk_header(inner: str) -> tuple[str, str | None, list[tuple[str, str]]]:
             options.append((key.strip(), value.strip()))
         elif label is None:
             label = part
-    return m[1], label, options
+    return m[0], label, options
 
 
 def option_lines(label: str | None, options: list[tuple[str, str]]) -> list[str]:
     """The options of a chunk as `#|` lines."""
     named = {"TRUE": "true", "T": "true", "FALSE": "false", "F": "false"}
-    return [f"#| label: {label}"] * bool(label) + [f"#| {k.replace('.', '-')}: {named.get(v.strip(), v.strip())}" for k, v in options]
+    return [f"#| label: {label}"] * bool(label) + ["#| " + k.replace(".", "-") + ": " + named.get(v.strip(), v.strip()) for k, v in options]
 
 
 def quarto_cells(text: str) -> list[tuple[str, str]]:
@@ -259,11 +262,10 @@ def quarto_cells(text: str) -> list[tuple[str, str]]:
     lines = text.split("\n")
     out: list[tuple[str, str]] = []
     at = 0
-    if lines[0].strip() == "---":
-        end = next((j for j in range(1, len(lines)) if lines[j].strip() == "---"), None)
-        if end is not None:
-            out.append(("raw", "\n".join(lines[: end + 1])))
-            at = end + 1
+    rules = [i for i, line in enumerate(lines) if line.strip() == "---"]
+    if len(rules) > 1 and rules[0] == 0:
+        at = rules[1] + 1
+        out.append(("raw", "\n".join(lines[:at])))
     body: list[str] = []
     fence, options = "", []
 
@@ -278,8 +280,8 @@ def quarto_cells(text: str) -> list[tuple[str, str]]:
         opens = None if fence else _FENCE.fullmatch(line)
         if opens:
             close()
-            fence, body = opens[1], []
-            options = option_lines(*chunk_header(opens[2])[1:])
+            fence, body = opens["ticks"], []
+            options = option_lines(*chunk_header(opens["head"])[1:])
         elif fence and line.startswith(fence) and not line[len(fence) :].strip():
             close()
             fence, body = "", []
@@ -300,12 +302,12 @@ def quarto(text: str, language: str = "r") -> str:
     for kind, body in scan(text):
         source = "\n".join(body).rstrip("\n")
         parts.append(f"```{{{language}}}\n{source}\n```" if kind == "code" else source)
-    return "\n\n".join(parts) + "\n"
+    return "\n\n".join(parts) + chr(10)
 
 
 def has_markers(text: Column) -> Column:
     """Whether a line is a cell's marker."""
-    return text.rlike(r"(?Um)^# (?:Raw |Markdown )?Cell \d+\s*$")
+    return text.rlike(r"(?Um)^# ((Markdown|Raw) )?Cell \d+\s*$")
 
 
 def is_databricks(text: Column) -> Column:
@@ -316,7 +318,7 @@ def kernel_metadata(name: Column) -> Column:
     """kernel() as an expression."""
     r = name.isin("ir", "r_env") | name.startswith("r_")
     spec = F.struct(name.alias("display_name"), F.when(r, "R").otherwise("python").alias("language"), name.alias("name"))
-    return F.struct(spec.alias("kernelspec"), F.struct(F.when(r, "R").otherwise("python").alias("name"), F.when(~r, "3.10.0").alias("version")).alias("language_info"))
+    return F.struct(spec.alias("kernelspec"), F.struct(F.when(r, "R").otherwise("python").alias("name"), F.when(~r, PYTHON).alias("version")).alias("language_info"))
 
 
 def read_cells(content: Column) -> Column:

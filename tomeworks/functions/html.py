@@ -7,38 +7,53 @@ from pyspark.sql import functions as F
 
 from tomeworks.functions.text import let, replace_each, strip
 
+#: The rest of a start tag, and what an element holds.
+_TO, _IN = "[^>]*>", "(.*?)"
+_ATTRIBUTE = r"""["']([^"']*)["']"""
+
+
+def element(tag: str, inner: str = _IN, flags: str = "is") -> str:
+    """Pattern of an element with its content."""
+    return f"(?{flags})<{tag}{_TO}{inner}</{tag}>"
+
+
+def _with_id(name: str) -> str:
+    return rf"""<div[^>]*id=["']{name}["']{_TO}"""
+
+
+_ENDS = "|".join(["""<div[^>]*id=["']quarto-back-to-top""", "<script", "<footer", "$"])
 #: Where the content lies, in order of preference.
-AREAS = (
-    r"""(?isU)<div[^>]*id=["']quarto-content["'][^>]*>(.*)</div>\s*(?:<div[^>]*id=["']quarto-back-to-top|<script|<footer|$)""",
-    r"(?is)<main[^>]*>(.*?)</main>",
-    r"(?is)<body[^>]*>(.*?)</body>",
-)
+AREAS = (rf"(?isU){_with_id('quarto-content')}(.*)</div>\s*(?:{_ENDS})", element("main"), element("body"))
 #: What is no content, in the order of removal.
 NOISE = (
-    *(rf"(?is)<{tag}[^>]*>.*?</{tag}>" for tag in ("script", "style", "nav", "header", "footer")),
-    *(rf"""(?is)<div[^>]*id=["']{name}["'][^>]*>.*?</div>""" for name in ("quarto-sidebar", "quarto-margin-sidebar", "TOC")),
+    *(element(tag, ".*?") for tag in ("script", "style", "nav", "header", "footer")),
+    *(f"(?is){_with_id(name)}.*?</div>" for name in ("quarto-sidebar", "quarto-margin-sidebar", "TOC")),
     *(rf"(?i)<{tag}[^>]*/?>" for tag in ("link", "meta")),
 )
 NAMED = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "))
-FENCE = r"(?isU)<pre[^>]*>\s*<code[^>]*>(.*?)</code>\s*</pre>"
+FENCE = rf"(?isU)<pre{_TO}\s*<code{_TO}{_IN}</code>\s*</pre>"
+_ROW, _CELL = element("tr"), element("(?:th|td)")
+_QUOTE = element("blockquote")
+_IMAGE = {order: rf"(?iU)<img{''.join(f'[^>]*{name}={_ATTRIBUTE}' for name in order)}[^>]*/?\s*>" for order in (("src", "alt"), ("alt", "src"))}
 BEFORE_TABLES = (
-    (r"(?is)<code[^>]*>(.*?)</code>", r"`$1`"),
-    *((rf"(?is)<h{i}[^>]*>(.*?)</h{i}>", "\n" + "#" * i + " $1\n") for i in range(6, 0, -1)),
-    *((rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", f"{mark}$1{mark}") for tag, mark in (("strong", "**"), ("b", "**"), ("em", "*"), ("i", "*"))),
-    (r"""(?is)<a[^>]*href=["']([^"']*)["'][^>]*>(.*?)</a>""", "[$2]($1)"),
-    (r"""(?iU)<img[^>]*src=["']([^"']*)["'][^>]*alt=["']([^"']*)["'][^>]*/?\s*>""", "![$2]($1)"),
-    (r"""(?iU)<img[^>]*alt=["']([^"']*)["'][^>]*src=["']([^"']*)["'][^>]*/?\s*>""", "![$1]($2)"),
+    (element("code"), "`$1`"),
+    *((element(f"h{i}"), "\n" + "#" * i + " $1\n") for i in range(6, 0, -1)),
+    *((element(tag), f"{mark}$1{mark}") for tag, mark in (("strong", "**"), ("b", "**"), ("em", "*"), ("i", "*"))),
+    (rf"(?is)<a[^>]*href={_ATTRIBUTE}{_TO}{_IN}</a>", "[$2]($1)"),
+    (_IMAGE["src", "alt"], "![$2]($1)"),
+    (_IMAGE["alt", "src"], "![$1]($2)"),
 )
+_WRAPPERS = "|".join(["div", "span", "section", "article", "aside"])
 AFTER_QUOTES = (
-    (r"(?is)<p[^>]*>(.*?)</p>", "$1\n\n"),
+    (element("p"), "$1\n\n"),
     (r"(?i)<br[^>]*/?>", "\n"),
     (r"(?iU)<hr[^>]*/?\s*>", "\n---\n"),
     *((rf"(?i)<{tag}>", "\n") for tag in ("ul[^>]*", "/ul", "ol[^>]*", "/ol")),
-    (r"(?is)<li[^>]*>(.*?)</li>", "- $1\n"),
+    (element("li"), "- $1\n"),
     *((rf"(?i)<{tag}>", "\n") for tag in ("dl[^>]*", "/dl")),
-    (r"(?is)<dt[^>]*>(.*?)</dt>", "**$1**\n"),
-    (r"(?is)<dd[^>]*>(.*?)</dd>", ": $1\n"),
-    (r"(?i)</?(?:div|span|section|article|aside)[^>]*>", ""),
+    (element("dt"), "**$1**\n"),
+    (element("dd"), ": $1\n"),
+    (rf"(?i)</?(?:{_WRAPPERS}){_TO}", ""),
     (r"<[^>]+>", ""),
 )
 TIDY = ((r"(?U)\n\s*\n\s*\n", "\n\n"), (r" +", " "))
@@ -85,19 +100,19 @@ def tables(html: Column) -> Column:
             rule = F.concat(F.lit("\n| "), F.array_join(F.transform(cells, lambda _: F.lit("---")), " | "), F.lit(" |"))
             return F.when(F.size(cells) > 0, F.concat(line, F.when(i == 0, rule).otherwise(F.lit(""))))
 
-        return let(F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<(?:th|td)[^>]*>(.*?)</(?:th|td)>"), 1), cell), shown)
+        return let(F.transform(F.regexp_extract_all(r, F.lit(_CELL), 1), cell), shown)
 
     def table(t: Column) -> Column:
         shown = lambda rows: F.filter(F.transform(rows, row), lambda x: x.isNotNull())
-        rows = F.regexp_extract_all(t, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)
+        rows = F.regexp_extract_all(t, F.lit(_ROW), 1)
         return let(rows, lambda r: F.when(F.size(r) == 0, t).otherwise(F.concat(F.lit("\n"), F.array_join(shown(r), "\n"), F.lit("\n"))))
 
-    return replace_each(html, r"(?is)<table[^>]*>.*?</table>", table)
+    return replace_each(html, element("table", ".*?"), table)
 
 
 def quotes(html: Column) -> Column:
-    inner = lambda b: strip(F.regexp_extract(b, r"(?is)<blockquote[^>]*>(.*?)</blockquote>", 1))
-    return replace_each(html, r"(?is)<blockquote[^>]*>.*?</blockquote>", lambda b: F.concat(F.lit("\n> "), F.replace(inner(b), F.lit("\n"), F.lit("\n> ")), F.lit("\n")))
+    inner = lambda b: strip(F.regexp_extract(b, _QUOTE, 1))
+    return replace_each(html, element("blockquote", ".*?"), lambda b: F.concat(F.lit("\n> "), F.replace(inner(b), F.lit("\n"), F.lit("\n> ")), F.lit("\n")))
 
 
 def markdown(html: Column, blocks: bool = True) -> Column:

@@ -8,7 +8,8 @@ import re
 
 from tomeworks.functions.arrow import udf
 
-_IMAGE = re.compile(r"""<img[^>]*src=["']data:image/([^;]+);base64,([^"']+)["'][^>]*/?\s*>""", re.I)
+_DATA = r"data:image/([^;]+);base64," + r"""([^"']+)["']"""
+_IMAGE = re.compile(r"""<img[^>]*src=["']""" + _DATA + r"[^>]*/?\s*>", re.I)
 _ALT = re.compile(r"""alt=["']([^"']*)["']""")
 ENDINGS = {"png": ".png", "jpeg": ".jpg", "jpg": ".jpg", "gif": ".gif", "svg+xml": ".svg", "webp": ".webp"}
 #: Characters of the tag that an alt text is looked for in.

@@ -30,6 +30,7 @@ SECTIONS = {
     11: ("Proposed Next Steps", "proposed_next_steps", (("proposed", "next"),)),
 }
 PATTERNS = {n: [rf"section{_GAP}{n}", *(_GAP.join(w) for w in words)] for n, (_, _, words) in SECTIONS.items()}
+ICON = "data:image/svg"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -119,7 +120,7 @@ def parse(html: str) -> Node:
 
 
 def main_of(root: Node) -> Node:
-    by_id = next((n for n in root.walk() if n.attrs.get("id") == "quarto-document-content"), None)
+    by_id = next((n for n in root.walk() if "quarto-document-content" == n.attrs.get("id")), None)
     return by_id or root.first("main") or root.first("body") or root
 
 
@@ -244,8 +245,8 @@ def items(node: Node) -> list[str]:
 def figures(main: Node) -> list[dict[str, str]]:
     out = []
     for img in main.all("img"):
-        src = img.attrs.get("src", "")
-        if not src or src.startswith("data:image/svg"):
+        src = img.attrs.get("src") or ICON
+        if src.startswith(ICON):
             continue
         cell, section, figure = img.above(cls="cell"), img.above("section", cls="level1"), img.above("figure")
         caption = figure.first("figcaption") if figure else None
@@ -261,7 +262,7 @@ def _section(number: int, node: Node) -> dict:
     if number == 0:
         out["metadata"] = metadata(node) or None
         if out["metadata"] is None:
-            out["_warning"] = "No YAML code block found in Section 0"
+            out |= {"_warning": "No YAML code block found in Section 0"}
         return out
     found = tables(node)
     if number == 1:
@@ -328,7 +329,7 @@ def as_yaml(report: dict) -> str:
         pass
 
     Dumper.add_representer(str, lambda d, s: d.represent_scalar("tag:yaml.org,2002:str", s, style="|" if "\n" in s else None))
-    return yaml.dump(report, Dumper=Dumper, default_flow_style=False, sort_keys=False, allow_unicode=True, width=120)
+    return yaml.dump(report, Dumper=Dumper, width=120, allow_unicode=True, sort_keys=False, default_flow_style=False)
 
 
 def as_markdown(report: dict) -> str:
@@ -344,7 +345,7 @@ def as_markdown(report: dict) -> str:
     if isinstance(get(0, "metadata"), dict) and get(0, "metadata"):
         block("Metadata", [f"- **{k}:** {v}" for k, v in get(0, "metadata").items() if not str(k).startswith("_")])
     if get(1, "results_at_a_glance"):
-        block("Results at a Glance", ["", "| Metric | Value |", "|--------|-------|", *(f"| {k} | {v} |" for k, v in get(1, "results_at_a_glance").items())])
+        block("Results at a Glance", ["", "| Metric | Value |", f"|{'-' * 8}|{'-' * 7}|", *(f"| {k} | {v} |" for k, v in get(1, "results_at_a_glance").items())])
     if get(6, "model_card"):
         block("Model Card", [f"- **{k}:** {v}" for k, v in get(6, "model_card").items()])
     if get(8, "text"):

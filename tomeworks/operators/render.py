@@ -109,4 +109,4 @@ def combined(archives_: DataFrame) -> Column | DataFrame:
 
 
 def now() -> str:
-    return datetime.datetime.now().strftime("%Y-%m-%d %H:%M:%S")
+    return datetime.datetime.now().isoformat(" ", "seconds")

@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FILE_TYPES = (".yaml", ".py", ".r", ".ipynb", ".qmd")
 PLAIN_TYPES = (".yaml", ".py", ".r")
-EXCLUDED = ("build", ".pytest_cache", "__pycache__", ".venv", ".git", ".ipynb_checkpoints")
+FILE_TYPES = (*PLAIN_TYPES, ".ipynb", ".qmd")
+EXCLUDED = (".git", ".venv", "build", "__pycache__", ".ipynb_checkpoints", ".pytest_cache")
 KEPT = ".gitignore"
 
 

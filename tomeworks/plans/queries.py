@@ -258,7 +258,7 @@ def databricks_sources(spark, sf_dir):
 def report_sections(spark, sf_dir):
     """Reports made of the pages, one section each; what the extractor finds."""
     n = (F.col("page_id") % 12).cast("string")
-    made = F.concat(F.lit("<html><head><title>"), F.col("url"), F.lit('</title></head><body><main><section class="level1" id="s"><h1>Section '), n, F.lit("</h1><p>"), F.col("url"), F.lit("</p></section></main></body></html>"))
+    made = F.concat(F.lit("<html><head><title>"), F.col("url"), F.lit('</title></head><body><main><section class="level1" id="s"><h1>Section '), n, F.lit("</h1><p>"), F.col("url"), F.lit("</p></section></main>"))
     got = table(spark, sf_dir, "pages").select("page_id", report.report(made).alias("r"))
     return got.select("page_id", F.col("r.title").alias("title"), F.col("r.sections_found")[0].alias("section"), F.size("r.figures").alias("figures"))
 

@@ -90,7 +90,7 @@ class _Reader(DataSourceReader):
                 with open(path, "rb") as f:
                     data = f.read()
             except OSError as e:
-                data = f"# Error reading file: {e}\n\n".encode()
+                data = b"# Error reading file: " + str(e).encode() + b"\n\n"
             yield rel, data, len(data), root
 
 
