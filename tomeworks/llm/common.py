@@ -14,9 +14,13 @@ _KEPT: dict[str, dict] = {}
 def worker_cache(name: str, most: int = 400_000) -> dict:
     """A dict that lives as long as the Python worker; emptied when it holds more than `most` keys.
 
-    It only saves repeated work: what is asked for and missing is computed again.
+    It only saves repeated work: what is asked for and missing is computed again. A worker that goes on to another operator
+    keeps the two dicts that were used last.
     """
-    kept = _KEPT.setdefault(name, {})
+    kept = _KEPT.pop(name, {})
+    _KEPT[name] = kept
+    while len(_KEPT) > 2:
+        _KEPT.pop(next(iter(_KEPT)))
     if len(kept) > most:
         kept.clear()
     return kept
@@ -66,6 +70,32 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - (off[0] if len(off) else 0)
 
 
+#: Bytes of text that are hashed at once; temporary arrays are some forty times as large.
+SLICE_BYTES = 1 << 20
+
+
+def slices(array: pa.Array, most: int = SLICE_BYTES) -> list[pa.Array]:
+    """The array in runs of whole texts of at most `most` bytes; a longer text is a run by itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, first = [], 0
+    while first < len(array):
+        begin = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, begin + most, "right")))
+        out.append(array.slice(first, last - first))
+        first = last
+    return out or [array]
+
+
+def sliced(call):
+    """call, applied to slices of its array one after the other."""
+
+    def run(array: pa.Array) -> pa.Array:
+        got = [call(a) for a in slices(array)]
+        return got[0] if len(got) == 1 else pa.concat_arrays(got)
+
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     with np.errstate(over="ignore"):

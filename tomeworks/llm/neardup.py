@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tomeworks.llm.common import Maybe, col, free_name, lists, mix64, row_udf, struct, word_hashes
+from tomeworks.llm.common import Maybe, col, free_name, lists, mix64, row_udf, sliced, struct, word_hashes
 from tomeworks.llm.graph import components
 from tomeworks.session import discard, stored
 
@@ -123,6 +123,7 @@ def similarity(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return (low + high) / 2
 
 
+@sliced
 def _sketch(array: pa.Array) -> pa.Array:
     h, count, words, n_words = shingles(array)
     sig = registers_of(smallest(h, count))
@@ -145,6 +146,7 @@ def _bands(array: pa.Array) -> pa.Array:
     return lists(h.ravel().view(np.int64), np.full(len(sig), h.shape[1]), pa.int64())
 
 
+@sliced
 def _sets(array: pa.Array) -> pa.Array:
     h, count, _, _ = shingles(array)
     out, end = [], np.cumsum(count)
