@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,8 +29,27 @@ def worker_cache(name: str, most: int = 400_000) -> dict:
 
 
 def row_udf(function, returns: str):
-    """An Arrow UDF that Catalyst neither duplicates nor moves across its consumer's filter."""
-    return F.arrow_udf(function, returnType=returns).asNondeterministic()
+    """An Arrow UDF of one column that Catalyst neither duplicates nor moves across its consumer's filter.
+
+    After each batch, memory that isn't used any more goes back to the system: workers live on, and executors count it.
+    """
+
+    def run(array: pa.Array) -> pa.Array:
+        try:
+            return function(array)
+        finally:
+            release()
+
+    return F.arrow_udf(run, returnType=returns).asNondeterministic()
+
+
+def release() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
