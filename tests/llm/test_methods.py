@@ -351,6 +351,30 @@ def test_recall(spark, spread):
     assert len(got) == 2500 and np.mean([len(set(got[i]) & set(true[i].tolist())) for i in range(2500)]) / ann.K >= 0.9
 
 
+def test_all_vectors_are_in_balanced_parts(spark):
+    """Beyond one cell too, parts are cut from all vectors: none is left to the router, and their number isn't bounded."""
+    rnd = np.random.default_rng(8)
+    x = ann.unit(np.concatenate([rnd.standard_normal((2400, 16)), np.repeat(rnd.standard_normal((1, 16)), 400, 0), rnd.standard_normal(16) + 0.02 * rnd.standard_normal((200, 16))]).astype(np.float32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    cut = ann.partition(spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id bigint, x binary"), 3000, 16, 30, cell=300)
+    sizes = np.bincount([r.part for r in cut.select("part").collect()], minlength=30)
+    assert len(sizes) == 30 and sizes.sum() == 3000 and sizes.max() <= 104 and sizes.min() >= 96
+    got = {r.vec_id: r.neighbours for r in ann.neighbours(df, part_rows=100, cell=300).collect()}
+    sim = x @ x.T
+    np.fill_diagonal(sim, -2)
+    kth = np.sort(sim, 1)[:, -ann.K]
+    hits = np.array([np.mean(sim[i, got[i]] >= kth[i] - 1e-6) for i in range(3000)])
+    assert hits.mean() >= 0.9 and hits[2800:].mean() >= 0.9
+
+
+def test_router_of_averaged_weights(spark):
+    rnd = np.random.default_rng(9)
+    x = ann.unit((4 * np.eye(16)[np.arange(2000) % 8] + rnd.standard_normal((2000, 16))).astype(np.float32))
+    base = spark.createDataFrame([(i, v.tobytes(), [i % 8] * 13) for i, v in enumerate(x)], "id bigint, x binary, near array<int>")
+    router = ann.fit(base, 2000, 16, 8, bucket=500)
+    assert (router.scores(x).argmax(1) == np.arange(2000) % 8).mean() > 0.9
+
+
 # shared pieces
 
 

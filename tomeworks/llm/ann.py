@@ -1,10 +1,12 @@
 """Approximate nearest neighbours with learned partitions.
 
-A neighbour graph over a bounded sample is cut into balanced parts of few crossing edges, by recursive bisection along the
-second eigenvector and swaps over the cut. A small network with one hidden layer learns from each sampled vector which
-parts its neighbours are in, and then routes all vectors: each lies in its likeliest part, and as a query visits the
-likeliest `probes` parts, where it is compared with every vector. How many probes that takes is measured: some queries are held
-against all vectors, and the fewest probes with at least TARGET of their true neighbours are taken.
+All vectors are cut into cells by a tree: each node is cut across its main direction where its parts are shared out in
+proportion, until a cell has at most CELL vectors. In each cell the neighbour graph of all its vectors is cut into balanced parts
+of few crossing edges, by recursive bisection along the second eigenvector and swaps over the cut. So every vector lies in a part by
+these cuts, and the number of parts follows that of vectors. A small network with one hidden layer learns from each vector which
+parts its neighbours are in; as a query a vector visits its own part and then the likeliest others, and is compared with every
+vector there. How many parts that takes is measured for each part: some of its queries are held against all vectors, and the
+fewest with at least TARGET of their true neighbours are taken for all of its vectors.
 
 Parts are cut into blocks of bounded size on both sides, vectors and queries, so a crowded part costs time and no memory.
 """
@@ -24,13 +26,15 @@ from tomeworks.llm.common import col, row_udf, struct
 from tomeworks.session import discard, stored
 
 K = 10
-#: Vectors that graph and network are made from, at most; those whose id hashes lowest.
-SAMPLE = 12_288
-#: Vectors a part, so the number of parts follows the input, up to one for PER_PART sampled vectors.
+#: Vectors of a cell, whose neighbour graph is made in one task, at most.
+CELL = 12_288
+#: Vectors a part, so the number of parts follows the input; parts of tables that are asked for smaller ones have PER_PART on average at least.
 PART_ROWS, PER_PART = 4096, 48
 GRAPH = 12
-#: Queries that the number of probes is measured with, and the share of true neighbours that is asked for.
-TRIALS, TARGET = 400, 0.95
+#: Queries of each part that its number of probes is measured with, and the share of true neighbours that is asked for.
+TRIALS, TARGET = 32, 0.95
+#: Vectors that one task trains the network on; with more of them, weights are averaged after each of ROUNDS.
+BUCKET, ROUNDS = 65_536, 4
 BASE_BLOCK, QUERY_BLOCK = 8192, 8192
 HIDDEN = 128
 
@@ -129,18 +133,26 @@ class Router:
         a, b, c, d = self.weights
         return np.maximum(x @ a + b, 0) @ c + d
 
-    def order(self, x: np.ndarray) -> np.ndarray:
-        """Parts of each vector, the likeliest first; ties: the part first in order."""
-        return np.argsort(-self.scores(x), axis=1, kind="stable").astype(np.int32)
+    def order(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """Parts of each vector: its own, then the likeliest; ties: the part first in order."""
+        z = self.scores(x)
+        z[np.arange(len(x)), home] = np.inf
+        return np.argsort(-z, axis=1, kind="stable").astype(np.int32)
 
 
-def train(x: np.ndarray, target: np.ndarray, hidden: int = HIDDEN, epochs: int = 40, rate: float = 3e-3, seed: int = 1) -> Router:
-    """A router trained by Adam on cross entropy with the share of each vector's neighbours in each part."""
+def start(dim: int, parts: int, hidden: int = HIDDEN, seed: int = 1) -> list[np.ndarray]:
+    """Weights to begin with."""
     rnd = np.random.default_rng(seed)
-    dim, parts = x.shape[1], target.shape[1]
     shape = [(dim, hidden), (hidden,), (hidden, parts), (parts,)]
     w = [(rnd.standard_normal(s) * (2 / s[0]) ** 0.5 if len(s) == 2 else np.zeros(s)).astype(np.float32) for s in shape]
     w[0] *= dim**0.5  # inputs have length 1
+    return w
+
+
+def train(x: np.ndarray, near: np.ndarray, weights: list[np.ndarray], epochs: int, rate: float = 3e-3, seed: int = 1) -> list[np.ndarray]:
+    """Weights after training by Adam on cross entropy with the share of each vector's neighbours in each part; near: their parts, a row a vector."""
+    rnd = np.random.default_rng(seed)
+    w, parts = [p.copy() for p in weights], weights[3].shape[0]
     m1, m2, t = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w], 0
     for _ in range(epochs):
         for rows in np.array_split(rnd.permutation(len(x)), max(1, len(x) // 256)):
@@ -148,14 +160,16 @@ def train(x: np.ndarray, target: np.ndarray, hidden: int = HIDDEN, epochs: int =
             h = np.maximum(x[rows] @ w[0] + w[1], 0)
             z = h @ w[2] + w[3]
             z = np.exp(z - z.max(1, keepdims=True))
-            d = (z / z.sum(1, keepdims=True) - target[rows]) / len(rows)
+            z /= z.sum(1, keepdims=True)
+            np.subtract.at(z, (np.repeat(np.arange(len(rows)), near.shape[1]), near[rows].ravel()), np.float32(1 / near.shape[1]))
+            d = z / len(rows)
             dh = (d @ w[2].T) * (h > 0)
             for p, g, a, b in zip(w, (x[rows].T @ dh, dh.sum(0), h.T @ d, d.sum(0)), m1, m2):
                 g = g + 1e-4 * p
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
                 p -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
-    return Router(w)
+    return w
 
 
 def matrix(array: pa.Array, dim: int) -> np.ndarray:
@@ -163,71 +177,241 @@ def matrix(array: pa.Array, dim: int) -> np.ndarray:
     return pc.list_flatten(array).to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(array), dim)
 
 
-def fit(vectors: DataFrame, n: int, dim: int, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> Router:
-    """A router made from at most `sample` of the vectors (id, v)."""
-    order = [F.xxhash64("id"), F.col("id")]
-    got = vectors.orderBy(*order).limit(sample).toArrow().combine_chunks() if n > sample else vectors.toArrow().combine_chunks()
-    got = got.sort_by("id")
-    x = unit(matrix(got["v"].combine_chunks(), dim)) if got.num_rows else np.zeros((0, dim), np.float32)
-    parts = max(1, min(-(-n // part_rows), len(x) // PER_PART))
-    if parts == 1:
-        return Router([np.zeros((dim, 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32)])
-    graph = neighbour_graph(x)
-    part = balanced_parts(graph, parts)
-    target = np.zeros((len(x), parts), np.float32)
-    np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph].ravel()), 1)
-    target[np.arange(len(x)), part] += 1
-    return train(x, target / target.sum(1, keepdims=True))
-
-
-def _route(router: Router, dim: int):
-    def call(array: pa.Array) -> pa.Array:
-        x = unit(matrix(array, dim))
-        order = router.order(x) if len(x) else np.empty((0, 1), np.int32)
-        off = np.arange(len(x) + 1, dtype=np.int32) * order.shape[1]
-        raw = pa.array([r.tobytes() for r in x], pa.binary())
-        return struct(x=raw, part=pa.array(order[:, 0], pa.int32()), order=pa.ListArray.from_arrays(pa.array(off), pa.array(order.ravel())))
+class Tree:
+    """Cuts of the space into nodes; each node that isn't cut is a cell, and has a number of parts from a first one on."""
+
+    def __init__(self, dim: int, parts: int):
+        self.direction, self.edge = np.zeros((1, dim)), np.zeros(1)
+        self.child, self.first, self.parts = np.full((1, 2), -1), np.zeros(1, int), np.array([parts])
+
+    def cut(self, node: np.ndarray, direction: np.ndarray, edge: np.ndarray) -> None:
+        """Cut nodes at the edge of each along its direction; the left one has half of the parts, rounded down."""
+        self.direction[node], self.edge[node], k, half = direction, edge, self.parts[node], self.parts[node] // 2
+        self.child[node] = len(self.edge) + np.arange(2 * len(node)).reshape(-1, 2)
+        more = 2 * len(node)
+        self.first = np.append(self.first, np.stack([self.first[node], self.first[node] + half], 1).ravel())
+        self.parts = np.append(self.parts, np.stack([half, k - half], 1).ravel())
+        self.direction, self.edge = np.concatenate([self.direction, np.zeros((more, self.direction.shape[1]))]), np.append(self.edge, np.zeros(more))
+        self.child = np.concatenate([self.child, np.full((more, 2), -1)])
+
+    def along(self, node: np.ndarray, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Where vectors lie along their node's direction; a little by id, so that vectors that are the same don't stay together at all costs."""
+        return np.einsum("ij,ij->i", x, self.direction[node]) + 1e-9 * ((ids * 0x9E3779B1 & 0xFFFFF) / 0x100000)
+
+    def node(self, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), int)
+        todo = np.arange(len(x) if self.child[0, 0] >= 0 else 0)
+        while len(todo):
+            n = at[todo]
+            at[todo] = self.child[n, (self.along(n, x[todo], ids[todo]) > self.edge[n]).astype(int)]
+            todo = todo[self.child[at[todo], 0] >= 0]
+        return at
+
+
+def _moments(tree, dim: int, wanted: np.ndarray):
+    """Per partition: number, sum and products of the vectors of each wanted node."""
+
+    def call(batches):
+        kept: dict[int, np.ndarray] = {}
+        for b in batches:
+            x = _bytes(b.column("x"), dim)
+            node = tree.value.node(x, b.column("id").to_numpy())
+            for k in np.intersect1d(node, wanted):
+                own = np.concatenate([np.ones(((node == k).sum(), 1)), x[node == k]], 1)
+                kept[int(k)] = kept.get(int(k), 0) + own.T @ own
+            if len(kept) > 1024:
+                yield from rows(kept)
+                kept = {}
+        yield from rows(kept)
+
+    def rows(kept):
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int32()), pa.array([m.tobytes() for m in kept.values()], pa.binary())], names=["node", "m"])
+
+    return call
+
+
+def _main(dim: int):
+    """The direction of the largest variance, from sums of moments."""
+
+    def call(table: pa.Table) -> pa.Table:
+        m = np.sum([np.frombuffer(r).reshape(dim + 1, dim + 1) for r in table["m"].to_pylist()], 0)
+        mean = m[0, 1:] / m[0, 0]
+        v = np.linalg.eigh(m[1:, 1:] / m[0, 0] - np.outer(mean, mean))[1][:, -1]
+        return pa.table({"node": table["node"][:1], "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
+
+    return call
+
+
+def grow(vectors: DataFrame, n: int, dim: int, parts: int, cell: int) -> Tree:
+    """The tree over all vectors (id, x), cut until no cell has more than about `cell` of them or it has one part."""
+    tree = Tree(dim, parts)
+    spark = vectors.sparkSession
+    while True:
+        leaf = np.flatnonzero(tree.child[:, 0] < 0)
+        wanted = leaf[(tree.parts[leaf] > 1) & (n / parts * tree.parts[leaf] > cell)]
+        if not len(wanted):
+            return tree
+        sent = spark.sparkContext.broadcast(tree)
+        got = vectors.mapInArrow(_moments(sent, dim, wanted), "node int, m binary").groupBy("node").applyInArrow(_main(dim), "node int, v array<double>").toArrow()
+        at, v = got["node"].to_numpy(), np.array(got["v"].to_pylist())
+        tree.direction[at] = v
+        sent = spark.sparkContext.broadcast(tree)
+
+        def along(array: pa.Array, sent=sent) -> pa.Array:
+            x, ids = _bytes(array.field("x"), dim), array.field("id").to_numpy()
+            node = sent.value.node(x, ids)
+            return struct(node=pa.array(node, pa.int32()), at=pa.array(sent.value.along(node, x, ids)))
+
+        # at one depth, numbers of parts differ by one at most, so there are few fractions
+        share = {k: k // 2 / k for k in set(tree.parts[at].tolist())}
+        fractions = sorted(set(share.values()))
+        placed = vectors.select(row_udf(along, "node int, at double")(F.struct("id", "x")).alias("r")).select("r.node", "r.at")
+        edges = {r.node: r.e for r in placed.groupBy("node").agg(F.percentile_approx("at", fractions, 10_000).alias("e")).collect()}
+        tree.cut(at, v, np.array([edges[k][fractions.index(share[tree.parts[k]])] for k in at.tolist()]))
+
+
+def _parts(tree, dim: int):
+    """The part of each vector of a cell, and the parts of its neighbours and itself."""
+
+    def call(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        x, node = _bytes(table["x"], dim), table["node"][0].as_py()
+        k, first = int(tree.value.parts[node]), int(tree.value.first[node])
+        graph = neighbour_graph(x)
+        part = balanced_parts(graph, k) + first
+        near = np.concatenate([part[graph].reshape(len(x), -1), np.repeat(part[:, None], GRAPH + 1 - graph.shape[1], 1)], 1).astype(np.int32)
+        off = np.arange(len(x) + 1, dtype=np.int32) * near.shape[1]
+        return pa.table({"id": table["id"], "x": table["x"], "part": pa.array(part, pa.int32()), "near": pa.ListArray.from_arrays(pa.array(off), pa.array(near.ravel()))})
+
+    return call
 
-    return row_udf(call, "x binary, part int, order array<int>")
+
+PIECE = 1 << 18
+
+
+def _trained(sent, dim: int, epochs: int, seed: int):
+    """One bucket's weights after training from those that were sent, in pieces."""
+
+    def call(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        near = pc.list_flatten(table["near"].combine_chunks()).to_numpy().reshape(table.num_rows, -1)
+        flat = np.concatenate([p.ravel() for p in train(_bytes(table["x"], dim), near, sent.value, epochs, seed=seed)])
+        pieces = [flat[i : i + PIECE].tobytes() for i in range(0, len(flat), PIECE)]
+        return pa.table({"piece": pa.array(range(len(pieces)), pa.int32()), "n": pa.array([table.num_rows] * len(pieces), pa.int64()), "w": pa.array(pieces, pa.binary())})
+
+    return call
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    n = table["n"].to_numpy()
+    w = sum(k * np.frombuffer(b, np.float32).astype(float) for k, b in zip(n, table["w"].to_pylist())) / n.sum()
+    return pa.table({"piece": table["piece"][:1], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
+
+
+def fit(base: DataFrame, n: int, dim: int, parts: int, bucket: int = BUCKET) -> Router:
+    """A router trained on all vectors (id, x, near), in buckets of about `bucket`."""
+    w, spark = start(dim, parts), base.sparkSession
+    buckets = -(-n // bucket)
+    rounds = ROUNDS if buckets > 1 else 1
+    epochs = min(40, max(8, -(-40 * CELL // n)))
+    spread = base.select("id", "x", "near", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(buckets)).alias("bucket"))
+    for k in range(rounds):
+        done = spread.groupBy("bucket").applyInArrow(_trained(spark.sparkContext.broadcast(w), dim, -(-epochs // rounds), k), "piece int, n bigint, w binary")
+        got = done.groupBy("piece").applyInArrow(_mean, "piece int, w binary").toArrow().sort_by("piece")
+        flat, at = np.frombuffer(b"".join(got["w"].to_pylist()), np.float32), np.cumsum([p.size for p in w])[:-1]
+        w = [f.reshape(p.shape) for f, p in zip(np.split(flat, at), w)]
+    return Router(w)
 
 
 def _bytes(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
 
 
-def _trial(queries: np.ndarray, ids: np.ndarray, dim: int, k: int):
-    """Per batch: the k nearest of each trial query, with their parts."""
+def _unit(dim: int):
+    def call(array: pa.Array) -> pa.Array:
+        return pa.array([r.tobytes() for r in unit(matrix(array, dim))], pa.binary())
+
+    return row_udf(call, "binary")
+
+
+def _visits(sent, probes: np.ndarray, dim: int):
+    """The parts that each vector visits as a query: as many as its own part has probes."""
+
+    def call(array: pa.Array) -> pa.Array:
+        x, home = _bytes(array.field("x"), dim), array.field("part").to_numpy()
+        got = [o[: probes[h]] for i in range(0, len(x), 512) for o, h in zip(sent.value.order(x[i : i + 512], home[i : i + 512]), home[i : i + 512])]
+        off = np.append(0, np.cumsum(probes[home])).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(got) if got else np.empty(0, np.int32), pa.int32()))
+
+    return row_udf(call, "array<int>")
+
+
+def _places(sent, dim: int):
+    """Where in a query's order the parts are that its true neighbours lie in."""
+
+    def call(array: pa.Array) -> pa.Array:
+        x, home, near = _bytes(array.field("x"), dim), array.field("part").to_numpy(), array.field("near").to_pylist()
+        place = [np.argsort(o)[p].tolist() for i in range(0, len(x), 512) for o, p in zip(sent.value.order(x[i : i + 512], home[i : i + 512]), near[i : i + 512])]
+        return pa.array(place, pa.list_(pa.int32()))
+
+    return row_udf(call, "array<int>")
+
+
+def _trial(sent, dim: int, k: int):
+    """For some thousand vectors at a time: the k nearest of each trial query, with their parts."""
 
     def call(batches):
+        ids, queries = sent.value
+        held: list = []
         for b in batches:
-            if not b.num_rows:
-                continue
-            sim = queries @ _bytes(b.column("x"), dim).T
-            own = b.column("id").to_numpy()
-            sim[ids[:, None] == own[None, :]] = -np.inf
+            held.append(b)
+            if sum(h.num_rows for h in held) >= 16_384:
+                yield from nearest(held, ids, queries)
+                held = []
+        if held:
+            yield from nearest(held, ids, queries)
+
+    def nearest(held, ids, queries):
+        table = pa.Table.from_batches(held)
+        x, own, part = _bytes(table["x"], dim), table["id"].to_numpy(), table["part"].to_numpy()
+        for i in range(0, len(ids) if len(own) else 0, 512):
+            sim = queries[i : i + 512] @ x.T
+            sim[ids[i : i + 512, None] == own[None, :]] = -np.inf
             at = best(sim, k)
-            q = np.repeat(np.arange(len(ids)), at.shape[1])
-            flat = at.ravel()
+            q, flat = np.repeat(np.arange(len(at)), at.shape[1]), at.ravel()
             s = sim[q, flat]
             ok = np.isfinite(s)
-            yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(own[flat[ok]]), pa.array(s[ok].astype(np.float64)), pa.array(b.column("part").to_numpy()[flat[ok]])], names=["q", "id", "sim", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i + q[ok]]), pa.array(own[flat[ok]]), pa.array(s[ok].astype(np.float64)), pa.array(part[flat[ok]])], names=["q", "id", "sim", "near"])
 
     return call
 
 
-def probes_needed(base: DataFrame, dim: int, k: int, parts: int, trials: int = TRIALS, target: float = TARGET) -> int:
-    """The fewest likeliest parts that hold at least `target` of the true k nearest of `trials` queries, held against all vectors."""
-    if parts == 1:
-        return 1
-    got = base.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(trials).select("id", "x", "order").toArrow()
-    ids, q = got["id"].to_numpy(), _bytes(got["x"], dim)
-    near = base.select("id", "x", "part").mapInArrow(_trial(q, ids, dim, k), "q bigint, id bigint, sim double, part int")
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))).filter(F.col("n") <= k).select("q", "part").toArrow()
-    if not near.num_rows:
-        return 1
-    place = np.argsort(np.array(got["order"].to_pylist()), axis=1)  # place of each part in each query's order
-    at = np.sort(place[near["q"].to_numpy(), near["part"].to_numpy()])
-    return int(at[math.ceil(target * len(at)) - 1]) + 1
+def probes_needed(base: DataFrame, router, dim: int, k: int, parts: int, trials: int = TRIALS, target: float = TARGET) -> np.ndarray:
+    """For each part: the fewest parts to visit that hold at least `target` of the true k nearest of `trials` of its vectors, held against all vectors."""
+    order = Window.partitionBy("part").orderBy(F.xxhash64("id", F.lit(1)), "id")
+    chosen = base.select("id", "part").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= trials).select("id")
+    asked = base.join(chosen, "id", "left_semi").select("id", "x", "part")
+    got = asked.toArrow()
+    sent = base.sparkSession.sparkContext.broadcast((got["id"].to_numpy(), _bytes(got["x"], dim)))
+    near = base.select("id", "x", "part").mapInArrow(_trial(sent, dim, k), "q bigint, id bigint, sim double, near int")
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))).filter(F.col("n") <= k).groupBy("q").agg(F.collect_list("near").alias("near"))
+    places = asked.join(near.withColumnRenamed("q", "id"), "id").select("part", _places(router, dim)(F.struct("x", "part", "near")).alias("at"))
+    rows = places.select("part", F.explode("at").alias("at")).groupBy("part", "at").agg(F.count("*").alias("n")).toArrow().to_pandas()
+    out = np.ones(parts, int)
+    for part, own in rows.sort_values("at").groupby("part"):
+        out[part] = own["at"].to_numpy()[np.searchsorted(own["n"].cumsum().to_numpy(), math.ceil(target * own["n"].sum()))] + 1
+    return out
+
+
+def partition(vectors: DataFrame, n: int, dim: int, parts: int, cell: int = CELL) -> DataFrame:
+    """(id, x, part, near) of all vectors (id, x): their parts and those of their neighbours."""
+    tree = vectors.sparkSession.sparkContext.broadcast(grow(vectors, n, dim, parts, cell))
+
+    def node(array: pa.Array) -> pa.Array:
+        return pa.array(tree.value.node(_bytes(array.field("x"), dim), array.field("id").to_numpy()), pa.int32())
+
+    return vectors.select("id", "x", row_udf(node, "int")(F.struct("id", "x")).alias("node")).groupBy("node").applyInArrow(_parts(tree, dim), "id bigint, x binary, part int, near array<int>")
 
 
 def _search(dim: int, k: int):
@@ -256,7 +440,7 @@ def _search(dim: int, k: int):
     return call
 
 
-def neighbours(vectors: DataFrame, id_col="vec_id", vec_col="embedding", k: int = K, target: float = TARGET, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> DataFrame:
+def neighbours(vectors: DataFrame, id_col="vec_id", vec_col="embedding", k: int = K, target: float = TARGET, cell: int = CELL, part_rows: int = PART_ROWS) -> DataFrame:
     """(vec_id, neighbours, similarities): for every id, the ids of its k nearest others by cosine, the nearest first.
 
     Every row is a query. Fewer than k others: all of them. Ties: the smaller id. Rows that repeat an id are one vector,
@@ -274,12 +458,17 @@ def neighbours(vectors: DataFrame, id_col="vec_id", vec_col="embedding", k: int
         return rows.select(F.col("id").alias("vec_id"), *empty)
     dim, n = sizes[0]
     good = rows.filter(F.col("dim") == dim).select("id", "v")
-    router = fit(good, n, dim, sample, part_rows)
-    parts = router.weights[3].shape[0]
-    routed = good.select("id", _route(router, dim)("v").alias("r"))
-    base, base_at = stored(routed.select("id", "r.x", "r.part", "r.order"), "routed")
-    probes = probes_needed(base, dim, k, parts, target=target)
-    visits = base.select("id", "x", F.explode(F.slice("order", 1, probes)).alias("part"))
+    parts = max(1, min(-(-n // part_rows), n // PER_PART))
+    even, even_at = stored(good.select("id", _unit(dim)("v").alias("x")), "unit")
+    if parts > 1:
+        cut, cut_at = stored(partition(even, n, dim, parts, cell), "parts")
+        router = spark.sparkContext.broadcast(fit(cut, n, dim, parts))
+        probes = probes_needed(cut, router, dim, k, parts, target=target)
+        order = _visits(router, probes, dim)(F.struct("x", "part"))
+    else:
+        cut, cut_at, order = even.withColumn("part", F.lit(0)), None, F.array(F.lit(0))
+    base, base_at = stored(cut.select("id", "x", "part", order.alias("order")), "routed")
+    visits = base.select("id", "x", F.explode("order").alias("part"))
     # one row for each part: into how many blocks its vectors and its queries are cut
     there, asked = base.groupBy("part").agg(F.count("*").alias("nb")), visits.groupBy("part").agg(F.count("*").alias("nq"))
     blocks = there.join(asked, "part").select("part", F.ceil(F.col("nb") / BASE_BLOCK).cast("int").alias("nb"), F.ceil(F.col("nq") / QUERY_BLOCK).cast("int").alias("nq"))
@@ -291,8 +480,9 @@ def neighbours(vectors: DataFrame, id_col="vec_id", vec_col="embedding", k: int
     packed = F.transform(F.arrays_zip("near", "sim"), lambda z: F.struct((-z["sim"]).alias("far"), z["near"].alias("near")))
     merged = found.select("id", packed.alias("c")).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("c"))), 1, k).alias("c"))
     final, _ = stored(merged.select(F.col("id").alias("vec_id"), F.col("c.near").alias("neighbours"), F.transform("c.far", lambda s: -s).alias("similarities")), "neighbours")
-    for path in (base_at,):
-        discard(spark, path)
+    for path in (even_at, cut_at, base_at):
+        if path:
+            discard(spark, path)
     bad = rows.filter(F.col("dim").isNull() | (F.col("dim") != dim)).select(F.col("id").alias("vec_id"), *empty)
     lone = good.select(F.col("id").alias("vec_id")).join(final.select("vec_id"), "vec_id", "left_anti").select("vec_id", F.array().cast("array<bigint>").alias("neighbours"), F.array().cast("array<float>").alias("similarities"))
     return final.unionByName(bad).unionByName(lone)
