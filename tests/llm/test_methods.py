@@ -232,6 +232,22 @@ def test_deobfuscation():
         assert model.score(text, {})[0] < 0, text
 
 
+def test_spaced_and_separated_letters():
+    """White space of any kind, signs among single letters, punctuation at the end, and separators within words."""
+    words = ["idiot", "scum", "trash", "moron", "hello", "there", "you", "well", "known", "co", "op"]
+    grams: dict[str, float] = {}
+    for w in words:
+        s = "^^^" + w + "$"
+        for i in range(len(w) + 1):
+            grams[s[i : i + 4]] = grams.get(s[i : i + 4], 0) + 50
+    model = toxicity.Model(dict.fromkeys(words[:4], 4.0), -2.0, toxicity.Characters(grams), "s")
+    hidden = ["you s c u m.", "y o u s c u m.", "t r a s h, ok", "i d ! o t", "$ c u m", "5 c u m", "s  c  u  m", "s\nc\nu\nm", "s\tc \n u m!", '"s c u m"', "s - c - u - m", "s c u m !", "i d i o t! y o u"]
+    for text in [*hidden, "m.0.r.o.n", "5.c.u.m", "$.c.u.m", "m--o--r--o--n", "mo-ron", "mo.r0n", "M_o_r_o_n!"]:
+        assert model.score(text, {})[0] > 0, text
+    for text in ("a + b + c = d", "| a | b | c |", "1 2 3 4 5", "v.1.2.3", "well-known", "hello-there", "h e l l o, you", "1.2.3", "! ! !", "co-op"):
+        assert model.score(text, {})[0] < 0, text
+
+
 def test_decode_by_brute_force():
     grams = {"^^^i": 9.0, "^^id": 9.0, "^ido": 5.0, "ido$": 4.0, "^^^l": 2.0, "^^lo": 2.0, "^lo$": 2.0}
     model = toxicity.Characters(grams)
