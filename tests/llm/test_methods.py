@@ -139,6 +139,17 @@ def test_langid_held_out(docs):
     assert len(ok) >= 0.97 * len(got) and np.mean([r.lang == r.lang_pred for r in ok]) > 0.98
 
 
+def test_dictionaries_do_not_shrink_with_a_rare_label():
+    rnd = random.Random(3)
+    text = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(300))
+    by = {"en": [text() for _ in range(80)], "de": [text() for _ in range(10)]}
+    alone, beside = langid.dictionaries(by), langid.dictionaries({**by, "xx": ["a short stray text"]})
+    assert alone == beside and 100_000 < len(alone["en"]) <= langid.DICT_BYTES and len(alone["de"]) > 20_000
+    mixed = langid.dictionaries({"en": ["z" * 500_000, *by["en"]]})["en"]
+    assert mixed.count(b"z") < 5000 and all(t[:500].encode() in mixed for t in by["en"])
+    assert set(langid.dictionaries({"a": ["short text one"], "b": ["another short text"]})) == {"a", "b"}
+
+
 # likelihood
 
 

@@ -21,8 +21,10 @@ from tomeworks.llm.common import col, expand, filter_by, row_udf, struct, texts,
 
 #: Labelled rows that the dictionaries of a language are made of, at most.
 SAMPLE_ROWS = 300
-#: Bytes of a dictionary; all languages have the same number, the least that any language can fill.
+#: Bytes of a dictionary, at most; each language has as many as its sample fills.
 DICT_BYTES = 112_000
+#: A label with fewer bytes of sample is no language to be told, unless none has that many.
+MIN_BYTES = 4096
 BLOCK = 2048
 #: Effort, and shortest match if one is set; the second is for texts whose margin is under RECHECK.
 EFFORT, MORE_EFFORT = (6, None), (12, 3)
@@ -59,14 +61,28 @@ def hash_of(text: str) -> int:
 
 
 def dictionaries(by: dict[str, list[str]], dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """One dictionary per language from its sample texts, in the order given; languages without text have none.
+    """One dictionary per language from slices of its sample texts, in the order given; languages without text have none.
 
-    Every language gets dictionaries of one size, so that none wins by knowing more.
+    Every text gives its beginning, as many bytes as any other has room for, so none fills a dictionary alone. No language's
+    dictionary depends on how much another has. Labels with less than MIN_BYTES are left out, as rare or mistyped ones would draw
+    single documents, unless all are so small.
     """
-    raw = {k: "\n".join(v).casefold().encode() for k, v in by.items()}
-    raw = {k: v for k, v in raw.items() if len(v) >= 8}
-    least = min([dict_bytes, *map(len, raw.values())], default=0)
-    return {k: v[:least] for k, v in sorted(raw.items())}
+    raw = {k: slices([t.casefold().encode() for t in v], dict_bytes) for k, v in by.items()}
+    least = min(MIN_BYTES, max(map(len, raw.values()), default=0), dict_bytes)
+    if not any(len(v) >= MIN_BYTES for v in raw.values()):
+        least = 8
+    return {k: v for k, v in sorted(raw.items()) if len(v) >= max(8, least)}
+
+
+def slices(rows: list[bytes], most: int) -> bytes:
+    """The beginnings of all rows, joined by line ends, `most` bytes at most: short rows whole, all others to the same length."""
+    room, each = max(0, most - len(rows) + 1), 0
+    for k, n in enumerate(sorted(map(len, rows))):
+        each = max(each, room // (len(rows) - k))
+        if n > each:
+            break
+        room -= n
+    return b"\n".join(x[:each].decode(errors="ignore").encode() for x in rows)[:most]
 
 
 def sizes(data: bytes, compressors: list, block: int = BLOCK) -> list[int]:
