@@ -82,6 +82,17 @@ def test_urls_held_out(spark):
     assert all(odds(u) <= 0 for u in fine) and all(odds(u) > 0 for u in bad)
 
 
+def test_rare_words_are_kept(spark):
+    """Words count however small their share is; a source that repeats itself pushes none out."""
+    rare = [(1, "https://pharmacology.example.org/marsupials", "pharmacology <b>marsupials</b> quokkas")]
+    hot = [(2 + i, "https://example.org/", "common words " * 5000) for i in range(20)]
+    pages = spark.createDataFrame(rare + hot, "page_id bigint, url string, html string")
+    share = urls.shares(pages)
+    assert set(share) == {"pharmacology", "marsupials"} and math.isclose(share["marsupials"], 1 / 200_003)
+    got = {r.page_id: r for r in urls.classify(pages, urls.fit(pages)).collect()}
+    assert got[1].host_words == ["pharmacology", "example"] and got[1].path_words == ["marsupials"] and not got[1].blocked
+
+
 # personal data
 
 

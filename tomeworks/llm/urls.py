@@ -1,7 +1,7 @@
 """URL filter: host names split into words by Viterbi under a unigram model, then naive Bayes on host and path words.
 
-The unigram model counts the words of all pages. What goes to the workers is bounded by a share, not by a number of rows:
-a word is kept if at least MIN_SHARE of all words are it, so there are never more than 1 / MIN_SHARE. Words of the
+The unigram model counts the words of all pages. What goes to the workers is bounded by the URLs at hand: every counted word,
+however rare, that occurs somewhere in a host or path, as no other can be part of a reading. Words of the
 labelled URLs count as well, so that a name made of them is split even where no page uses them.
 
 Naive Bayes is multinomial with additive smoothing, trained on a small labelled table of URLs, which are segmented in the same
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from tomeworks.llm.common import col, expand, filter_by, row_udf, struct, worker_cache
 
-MIN_SHARE = 2e-5
+#: Letters of a word that is counted, at most.
+LONGEST = 30
 #: Counts that a word of the labelled table has at least, as a share of all words.
 SEED_SHARE = 1e-4
 SMOOTHING = 0.1
@@ -81,7 +82,7 @@ class Unigrams:
         self.longest = max(map(len, share), default=0)
 
     def unknown(self, n: int) -> float:
-        """Log probability of an unknown word of n letters: rarer than any known one, tenfold less for each letter more."""
+        """Log probability of an unknown word of n letters: tenfold less for each letter more."""
         return math.log(1e-6) - n * math.log(10)
 
     def split(self, name: str) -> list[str]:
@@ -169,19 +170,32 @@ class Model:
         return max(s, key=lambda c: (s[c], c == OK)), odds
 
 
-def shares(pages: DataFrame, url_col="url", html_col="html", min_share: float = MIN_SHARE) -> dict[str, float]:
-    """Share of each word of two letters or more among all words of all pages, tags left out, if it is at least min_share."""
+def pieces(pages: DataFrame, url_col="url") -> DataFrame:
+    """(w): every string of 2 to LONGEST letters that occurs in a run of letters of a URL's host or path, once."""
+
+    def call(array: pa.Array) -> pa.Array:
+        found = [parts(u) if u is not None else ("", [], []) for u in array.to_pylist()]
+        return pa.array([sorted({w for w in (*host, *path) if len(w) > 1 and w.isalpha()}) for _, host, path in found], pa.list_(pa.string()))
+
+    runs = pages.select(F.explode(row_udf(call, "array<string>")(col(pages, url_col))).alias("run")).distinct()
+    at = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run") - 1)).alias("i"))
+    most = F.least(F.lit(LONGEST), F.length("run") - F.col("i") + 1)
+    return at.select(F.explode(F.transform(F.sequence(F.lit(2), most), lambda n: F.substring("run", F.col("i"), n))).alias("w")).distinct()
+
+
+def shares(pages: DataFrame, url_col="url", html_col="html") -> dict[str, float]:
+    """Share of each word of two letters or more among all words of all pages, tags left out, of those that occur in a URL."""
     text = F.lower(F.regexp_replace(F.coalesce(col(pages, html_col), F.lit("")), r"<(?:script|style)\b[\s\S]*?</(?:script|style)>|<[^>]*>", " "))
-    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).filter(F.length("w").between(2, 30)).groupBy("w").agg(F.count("*").alias("n"))
+    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).filter(F.length("w").between(2, LONGEST)).groupBy("w").agg(F.count("*").alias("n"))
     total = words.agg(F.sum("n").alias("all"))
-    kept = words.crossJoin(F.broadcast(total)).filter(F.col("n") >= F.lit(min_share) * F.col("all")).select("w", (F.col("n") / F.col("all")).alias("p"))  # one row is broadcast
+    kept = words.join(pieces(pages, url_col), "w", "left_semi").crossJoin(F.broadcast(total)).select("w", (F.col("n") / F.col("all")).alias("p"))  # one row is broadcast
     return {r.w: r.p for r in kept.collect()}
 
 
-def fit(pages: DataFrame, url_col="url", html_col="html", table: DataFrame | None = None, min_share: float = MIN_SHARE) -> Model:
+def fit(pages: DataFrame, url_col="url", html_col="html", table: DataFrame | None = None) -> Model:
     """Unigrams of all pages and naive Bayes of a labelled table (url, category), by default training_rows(). That table must be small: it is collected."""
     rows = training_rows() if table is None else tuple((r.url, r.category) for r in table.select("url", "category").collect())
-    return Model(shares(pages, url_col, html_col, min_share), rows)
+    return Model(shares(pages, url_col, html_col), rows)
 
 
 def udf(model: Model):
