@@ -140,6 +140,15 @@ def test_redaction():
     assert all(text[a:b] for _, a, b in spans)
 
 
+def test_values_of_letters_only():
+    field = pii.fit()
+    for text in ("password = correcthorse", "my pwd: Hunter", "PASSWORD: swordfish now", 'passwd = "opensesame".', "db_password : letmein", "password=correcthorse", "see: password= hunter", "secret = abcdefghijklmnopqrstuvwxyzabcd"):
+        out, spans = pii.redact(text, pii.decode_all(field, [text])[0])
+        assert [k for k, _, _ in spans] == ["KEY" if "secret" in text else "PASSWORD"] and not any(v in out for v in ("horse", "Hunter", "hunter", "swordfish", "sesame", "letmein", "mnop")), out
+    for text in ("the password reset page", "a key: value pair", "note: hello there", "x = value", "He said: password rules apply"):
+        assert not pii.decode_all(field, [text])[0], text
+
+
 # language
 
 

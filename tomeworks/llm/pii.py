@@ -5,9 +5,10 @@ upper case letters, each other sign), lengths of its digit runs and what it hold
 The field is trained by gradient ascent on the conditional likelihood of a small labelled table and decoded by Viterbi.
 
 Decoding is exact but skips what can't matter. A token for which "no personal data" beats every other label by more than all
-that neighbours and transitions could add is decided on the spot, and splits its text in two independent chains. Training makes
-that so for all tokens without digit, @, = or similar signs; whether it is so is computed from the weights, for each shape
-of token, and where it isn't, the token is decoded with its neighbours. Chains are decoded together, in numpy batches.
+that neighbours and transitions could add is decided on the spot, and splits its text in two independent chains. Words without digit, @
+or = that have only such words beside them and no cue before them are mostly so; whether they are is computed from the weights, for
+each look of a word, and where they aren't, all tokens are decoded with their neighbours. A word behind a cue such as
+"password =" or "pwd:" has a feature of its own and is always decoded. Chains are decoded together, in numpy batches.
 """
 
 from __future__ import annotations
@@ -33,10 +34,32 @@ _HEX = re.compile(r"[0-9a-f]{12,}|[0-9A-F]{12,}")
 _MIXED = re.compile(r"(?=[A-Za-z0-9_+/\-]*[0-9])(?=[A-Za-z0-9_+/\-]*[A-Za-z])[A-Za-z0-9_+/\-]{12,}={0,2}")
 #: A token without any of these is a word to the model, whatever its letters.
 _SIGNS = re.compile(r"[0-9@=]")
+#: What a token holds that has to be looked at, or that a value may follow; words of LONG letters or more may be keys.
+LONG = 24
+_LOOK = re.compile(rf"[0-9@=]|:(?!\S)|(?<!\S)\S{{{LONG}}}")
 _CUES = ("password", "passwd", "pwd", "passphrase")
 _SECRET = ("token", "secret", "api_key", "apikey", "key", "auth")
 
 
+_CUE = re.compile(rf"(?:.*[_\-.])?(?:({'|'.join(_CUES)})|({'|'.join(_SECRET)}))", re.S)
+_IS = ("=", ":=", ":", "==", "=>")
+
+
+def behind(before: str, last: str) -> str:
+    """Whether a token that these two precede is the value of a password ("pw") or of a key ("secret"), or of neither ("")."""
+    name = before if last in _IS else last if last[-1:] in (":", "=") else ""
+    m = _CUE.fullmatch(name.strip(_EDGE + "=").lower()) if 0 < len(name) < 200 else None
+    return "" if m is None else "pw" if m[1] else "secret"
+
+
+def contextual(tokens: list[str], i: int) -> tuple[str, ...]:
+    """Names of the features that a token without signs has from what is before it."""
+    if not i or _SIGNS.search(tokens[i]) or tokens[i] in _IS:
+        return ()
+    cue = behind(tokens[i - 2] if i > 1 else "", tokens[i - 1])
+    return (f"behind={cue}", f"behind={cue}-{min(len(tokens[i]) // 12, 3)}") if cue else ()
+
+
 def core(token: str) -> tuple[int, int]:
     """Where the token begins and ends without quotes, brackets and punctuation around it."""
     left, right = len(token) - len(token.lstrip(_EDGE)), len(token.rstrip(_EDGE))
@@ -183,6 +206,24 @@ def training_rows(n: int = 500, seed: int = 11) -> list[tuple[list[str], list[st
     return rows
 
 
+def value_rows(n: int = 250, seed: int = 12) -> list[tuple[list[str], list[str]]]:
+    """More labelled rows, of values of letters only behind cues. Behind "key" and the like only long ones are keys; short ones are words."""
+    rnd = random.Random(seed)
+    low = lambda a, b: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(a, b)))
+    case = lambda w: rnd.choice([w, w, w.capitalize(), w.upper()])
+    rows = []
+    for i in range(n):
+        cue, label = (rnd.choice(_CUES), "PASSWORD") if i % 2 else (rnd.choice(_SECRET), "KEY")
+        short = label == "KEY" and rnd.random() < 0.4
+        value = low(4, 20) if label == "PASSWORD" else low(2, 9) if short else low(24, 48)
+        value = rnd.choice(["{}", "{}", '"{}"', "'{}'", "{}.", "{},"]).format(case(value))
+        label, name = "O" if short else label, case(cue)
+        said = rnd.choice([[(name, "O"), ("=", "O"), (value, label)], [(name, "O"), ("=", "O"), (value, label)], [(name, "O"), (":", "O"), (value, label)], [(name + ":", "O"), (value, label)], [(name + ":", "O"), (value, label)], [(name + "=", "O"), (value, label)], [(f"{name}={value}", label)], [(name, "O"), (low(2, 9), "O")]])
+        row = [*[(case(low(1, 11)), "O") for _ in range(rnd.randint(0, 3))], *said, *[(case(low(1, 11)), "O") for _ in range(rnd.randint(0, 3))]]
+        rows.append(([t for t, _ in row], [k for _, k in row]))
+    return rows
+
+
 def training_table(spark: SparkSession, n: int = 500, seed: int = 11) -> DataFrame:
     """training_rows() as a table (row_id, tokens, labels)."""
     return spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(training_rows(n, seed))], "row_id int, tokens array<string>, labels array<string>")
@@ -197,26 +238,34 @@ class Field:
         #: What neighbours and transitions can add to each label's lead over O, at most.
         self.bound = (before - before[:, :1]).max(0) + (after - after[:, :1]).max(0) + np.maximum((move - move[:, :1]).max(0), 0) + np.maximum((move - move[:1]).max(1), 0)
 
+        plain = [CLASSES.index(c) for c in ("edge", "word", "pw", "secret")]
+        #: The same where only words are beside the token.
+        self.near = (before - before[:, :1])[plain].max(0) + (after - after[:, :1])[plain].max(0) + np.maximum((move - move[:, :1]).max(0), 0) + np.maximum((move - move[:1]).max(1), 0)
+
+    def more(self, names: tuple[str, ...]) -> np.ndarray:
+        """What contextual features add to a token's score."""
+        at = [self.names[f] for f in names if f in self.names]
+        return self.own[at].sum(0) if at else np.zeros(len(LABELS))
+
     def score(self, token: str) -> np.ndarray:
         at = [self.names[f] for f in features(token) if f in self.names]
         return self.own[at].sum(0) if at else np.zeros(len(LABELS))
 
-    def certain(self, score: np.ndarray) -> bool:
-        """Whether O is this token's label in every context."""
-        return bool((score[0] - score[1:] > self.bound[1:]).all())
+    def certain(self, score: np.ndarray, bound: np.ndarray | None = None) -> bool:
+        """Whether O is this token's label in every context, or in those of another bound."""
+        return bool((score[0] - score[1:] > (self.bound if bound is None else bound)[1:]).all())
 
 
-def train(rows: Iterable[tuple[list[str], list[str]]], steps: int = 150, rate: float = 0.2, penalty: float = 2e-4, lead: float = 8.0) -> Field:
+def train(rows: Iterable[tuple[list[str], list[str]]], steps: int = 150, rate: float = 0.2, penalty: float = 2e-4) -> Field:
     """Weights that maximise the conditional likelihood, with an L2 penalty, by Adam on all rows at once.
 
-    Rows without tokens don't count; without any rows the field labels everything O. `lead` is added after training
-    to the weight of the feature of plain words in favour of O: a prior that a word without digit, @ or = is no personal data.
+    Rows without tokens don't count; without any rows the field labels everything O.
     """
     rows = [(t, k) for t, k in rows if t]
     names: dict[str, int] = {"word": 0}
     index = {c: i for i, c in enumerate(CLASSES)}
     count: dict[str, int] = {}
-    feats = [[features(t) for t in tokens] for tokens, _ in rows]
+    feats = [[features(t) + contextual(tokens, i) for i, t in enumerate(tokens)] for tokens, _ in rows]
     for row in feats:
         for fs in row:
             for f in fs:
@@ -278,7 +327,6 @@ def train(rows: Iterable[tuple[list[str], list[str]]], steps: int = 150, rate: f
             m2 *= 0.999
             m2 += 0.001 * g * g
             w += rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-    weights[0][0, 0] += lead
     f, c = len(names), len(CLASSES)
     return Field(names, weights[0][:f], weights[0][f : f + c], weights[0][f + c :], weights[1])
 
@@ -315,8 +363,8 @@ def decode_all(field: Field, strings: list[str]) -> list[list[tuple[int, int, in
     known = worker_cache(f"pii-{field.key}")
     index = {c: i for i, c in enumerate(CLASSES)}
     plain = worker_cache(f"pii-plain-{field.key}")
-    if not plain:  # all that tokens without signs can look like
-        plain["all"] = all(field.certain(field.score(w)) for w in ("a", "a" * 12, "a" * 24, "a" * 36, *_CUES, *_SECRET, *(c + "." * 12 for c in (*_CUES, *_SECRET)), *(c + "." * 24 for c in (*_CUES, *_SECRET)), *(c + "." * 40 for c in (*_CUES, *_SECRET))))
+    if not plain:  # all that shorter tokens without signs can look like
+        plain["all"] = all(field.certain(field.score(w), field.near) for w in ("a", "a" * 12, *_CUES, *_SECRET, *(c + "." * 12 for c in (*_CUES, *_SECRET))))
 
     def look(token: str) -> tuple[np.ndarray, int, bool]:
         got = known.get(token)
@@ -327,17 +375,27 @@ def decode_all(field: Field, strings: list[str]) -> list[list[tuple[int, int, in
 
     chains, where = [], []
     for row, text in enumerate(strings):
-        if plain["all"]:  # only tokens with signs and the words beside them need to be looked at
-            spans, end, n = [], 0, len(text)
-            for m in _SIGNS.finditer(text):
+        if plain["all"]:  # only tokens with signs, those beside them and values need to be looked at
+            seen, end = {}, 0
+            for m in _LOOK.finditer(text):
                 if m.start() < end:
                     continue
                 a = m.start()
                 while a > end and not text[a - 1].isspace():
                     a -= 1
                 stop = TOKEN.match(text, a).end()
-                spans.append((a, stop))
+                left, right = _left(text, a), TOKEN.search(text, stop)
+                if _SIGNS.search(text, a, stop):
+                    seen.update({left[0]: left[1]} if left else {})
+                    seen[a] = stop
+                    seen.update({right.start(): right.end()} if right else {})
+                else:
+                    if stop - a >= LONG:
+                        seen[a] = stop
+                    if right and behind(text[left[0] : left[1]] if left else "", text[a:stop]):
+                        seen[right.start()] = right.end()
                 end = stop
+            spans = sorted(seen.items())
         else:
             spans = [m.span() for m in TOKEN.finditer(text)]
         if not spans:
@@ -352,9 +410,13 @@ def decode_all(field: Field, strings: list[str]) -> list[list[tuple[int, int, in
                 chains.append(_fenced(chain, field.move, True, at, text))
                 where.append((row, at))
                 chain, at = [], []
+            left = text[max(0, a - 200) : a].split()
+            context = contextual([*left[-2:], token], len(left[-2:]))
+            if context:
+                score = score + field.more(context)
+                sure = field.certain(score)
             if sure and not chain:
                 continue
-            left = text[max(0, a - 200) : a].split()
             right = TOKEN.search(text, b, min(len(text), b + 200))
             e = score + field.before[index[classes(left[-1])] if left else 0] + field.after[index[classes(right.group())] if right else 0]
             if not chain:
@@ -374,6 +436,17 @@ def decode_all(field: Field, strings: list[str]) -> list[list[tuple[int, int, in
     return out
 
 
+def _left(text: str, a: int) -> tuple[int, int] | None:
+    """Where the token before position a, at which another begins, is; None if there is none."""
+    stop = a
+    while stop and text[stop - 1].isspace():
+        stop -= 1
+    start = stop
+    while start and not text[start - 1].isspace():
+        start -= 1
+    return (start, stop) if stop else None
+
+
 def _fenced(chain: list[np.ndarray], move: np.ndarray, ends: bool, at: list, text: str) -> np.ndarray:
     """The chain's scores, its last token's with the move to the sure O that follows, if the chain ends before one."""
     e = np.array(chain)
@@ -424,11 +497,11 @@ def udf(field: Field):
 
 @functools.cache
 def _default() -> Field:
-    return train(training_rows())
+    return train([*training_rows(), *value_rows()])
 
 
 def fit(table: DataFrame | None = None) -> Field:
-    """The field trained on a labelled table (tokens, labels), by default training_rows(). The table must be small: it is collected."""
+    """The field trained on a labelled table (tokens, labels), by default training_rows() and value_rows(). The table must be small: it is collected."""
     if table is None:
         return _default()
     rows = [(list(r.tokens), list(r.labels)) for r in table.select("tokens", "labels").collect() if r.tokens is not None]
