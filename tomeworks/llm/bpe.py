@@ -16,9 +16,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 
-from tomeworks.llm.common import col, expand, is_text, lists, row_udf, struct, worker_cache
+from tomeworks.llm.common import col, expand, is_text, lists, row_udf, slices, struct, utf8, worker_cache
 
 VOCAB = "/opt/tokenizers/byte_bpe_50k.json"
+#: Bytes of text that are encoded at once.
+SLICE = 4 << 20
 FIELDS = ["ids", "char_start", "char_end", "n_tokens", "round_trip"]
 #: A space after white space that isn't followed by something else: there the pieces can't be told apart by spaces.
 _RUN = re.compile(r"\s (?!\S)")
@@ -48,30 +50,80 @@ def _load(path: str) -> dict:
         size = np.zeros(max(table) + 1, np.int64)
         for i, b in table.items():
             size[i] = len(b)
-        kept.update(tokenizer=tokenizer, table=table, size=size)
+        kept.update(tokenizer=tokenizer, table=table, size=size, begin=np.cumsum(size) - size, flat=np.frombuffer(b"".join(table.get(i, b"") for i in range(len(size))), np.uint8))
     return kept
 
 
+def encode_pieces(pieces: list[str], path: str = VOCAB) -> list[bytes]:
+    """Token ids of each piece, encoded by itself, as 32-bit integers.
+
+    Words after a space are encoded many at once as one text, which is cut again where their bytes end: no token reaches over
+    the space before a word, unless white space is beside it.
+    """
+    model = _load(path)
+    encode = lambda texts: model["tokenizer"].encode_batch_fast(texts, add_special_tokens=False)
+    out: list = [b""] * len(pieces)
+    plain, rest = [], []
+    for i, p in enumerate(pieces):
+        (plain if p[:1] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() else rest).append(i)
+    for first in range(0, len(plain), 1000):
+        part = plain[first : first + 1000]
+        ids = np.array(encode(["".join([pieces[i] for i in part])])[0].ids, np.int32)
+        cuts = 4 + 4 * np.searchsorted(np.cumsum(model["size"][ids]), np.cumsum([len(pieces[i].encode()) for i in part]), "left")
+        data, begin = ids.tobytes(), 0
+        for i, end in zip(part, cuts.tolist()):
+            out[i] = data[begin:end]
+            begin = end
+    for first in range(0, len(rest), 1000):
+        part = rest[first : first + 1000]
+        for i, e in zip(part, encode([pieces[i] for i in part])):
+            out[i] = np.array(e.ids, np.int32).tobytes()
+    return out
+
+
+def encode_array(array: pa.Array, path: str = VOCAB) -> tuple[np.ndarray, np.ndarray]:
+    """(token ids of all texts one after the other, number of tokens of each text); null as the empty text."""
+    known = worker_cache("bpe-pieces-" + path)
+    array = pc.fill_null(array, "")
+    if not len(array):
+        return np.empty(0, np.int32), np.empty(0, np.int64)
+    whole = np.array([_RUN.search(t) is not None for t in array.to_pylist()], bool)
+    words = pc.split_pattern(array, " ")
+    n = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pc.list_flatten(words).dictionary_encode()
+    kind, values = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    head = np.cumsum(n) - n
+    inner = np.ones(len(kind), bool)
+    inner[head] = False
+    inner[np.repeat(whole, n)] = False
+    # pieces by number: words behind a space, then each text's head or, where it isn't cut, all of it
+    used, number = np.unique(kind[inner], return_inverse=True)
+    behind = [" " + w for w in values.take(pa.array(used)).to_pylist()]
+    first = [t if w else f for t, w, f in zip(array.to_pylist(), whole.tolist(), values.take(pa.array(kind[head])).to_pylist())]
+    pieces = [*behind, *first]
+    got = list(map(known.get, pieces))
+    missing = [i for i, g in enumerate(got) if g is None]
+    for i, ids in zip(missing, encode_pieces([pieces[i] for i in missing], path)):
+        got[i] = ids
+        if len(ids) <= 64:  # long ones aren't worth keeping
+            known[pieces[i]] = ids
+    at = np.zeros(len(kind), np.int64)
+    at[inner] = number
+    at[head] = len(behind) + np.arange(len(array))
+    there = inner.copy()
+    there[head] = True
+    size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+    begin = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(got), np.int32)
+    count = np.where(there, size[at], 0)
+    ids = flat[np.repeat(begin[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+    return ids, np.add.reduceat(count, head)
+
+
 def encode_texts(strings: list[str], path: str = VOCAB) -> list[np.ndarray]:
     """Token ids of each text."""
-    model, known = _load(path), worker_cache("bpe-pieces-" + path)
-    split = []
-    for t in strings:
-        if _RUN.search(t):
-            split.append([t])
-            continue
-        head, *tail = t.split(" ")
-        split.append([head, *[" " + p for p in tail]] if head else [" " + p for p in tail])
-    new = list({p for s in split for p in s if p not in known})
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for p, e in zip(part, model["tokenizer"].encode_batch_fast(part, add_special_tokens=False)):
-            known[p] = np.array(e.ids, np.int32).tobytes()
-    out = [np.frombuffer(b"".join(map(known.__getitem__, s)), np.int32) for s in split]
-    for t, s in zip(strings, split):
-        if len(s) == 1 and len(t) > 100:
-            known.pop(t, None)  # whole texts aren't worth keeping
-    return out
+    ids, n = encode_array(pa.array(strings, pa.string()), path)
+    return np.split(ids, np.cumsum(n)[:-1]) if len(n) else []
 
 
 def offsets(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,32 +146,58 @@ def decode_ids(ids, path: str = VOCAB, pending: bytes = b"", final: bool = True)
     return text, decoder.getstate()[0]
 
 
+def _encoded_slice(array: pa.Array, path: str) -> pa.Array:
+    ok = is_text(array)
+    ids, n = encode_array(array, path)
+    model = _load(path)
+    raw, off = utf8(array)
+    size = model["size"][ids]
+    end = np.cumsum(size)
+    stop = np.append(0, np.cumsum(n))
+    back = decode_flat(ids, n, path)
+    same = np.array([a == b for a, b in zip(back, pc.fill_null(array, "").to_pylist())], bool)
+    if end[-1:].sum() != len(raw):
+        raise ValueError("tokens and text differ in length")
+    char = np.append(np.cumsum((raw & 0xC0) != 0x80), 0)  # the character that each byte belongs to, from 1
+    before = np.repeat(np.where(off[:-1] > 0, char[off[:-1] - 1], 0), n)
+    starts, ends = char[end - size] - before - 1, char[end - 1] - before
+    return struct(
+        ids=lists(ids, n, pa.int32(), ok), char_start=lists(starts.astype(np.int32), n, pa.int32(), ok), char_end=lists(ends.astype(np.int32), n, pa.int32(), ok),
+        n_tokens=pa.array(np.diff(stop).astype(np.int32), pa.int32(), mask=~ok), round_trip=pa.array(same, pa.bool_(), mask=~ok),
+    )
+
+
+def decode_flat(ids: np.ndarray, n: np.ndarray, path: str = VOCAB) -> list[str]:
+    """Text of each of the runs of n ids: their bytes by table, then characters, split ones put together; U+FFFD for bytes that are no character."""
+    model = _load(path)
+    size = model["size"][ids]
+    ends = np.cumsum(size)
+    data = model["flat"][np.repeat(model["begin"][ids] - (ends - size), size) + np.arange(size.sum())].tobytes()
+    stop = np.append(0, ends)[np.append(0, np.cumsum(n))].tolist()
+    return [data[a:b].decode("utf-8", "replace") for a, b in zip(stop, stop[1:])]
+
+
 def encode_udf(path: str = VOCAB):
     def call(array: pa.Array) -> pa.Array:
-        ok = is_text(array)
-        strings = pc.fill_null(array, "").to_pylist()
-        model = _load(path)
-        ids = encode_texts(strings, path)
-        starts, ends, same = [], [], []
-        for t, i in zip(strings, ids):
-            data = t.encode()
-            a, b = offsets(data, model["size"][i]) if len(i) else (np.empty(0, np.int32), np.empty(0, np.int32))
-            starts.append(a)
-            ends.append(b)
-            same.append(b"".join(map(model["table"].__getitem__, i.tolist())) == data)
-        n = np.array([len(i) for i in ids], np.int64)
-        flat = lambda x: np.concatenate(x) if x else np.empty(0, np.int32)
-        return struct(
-            ids=lists(flat(ids), n, pa.int32(), ok), char_start=lists(flat(starts), n, pa.int32(), ok), char_end=lists(flat(ends), n, pa.int32(), ok),
-            n_tokens=pa.array(n.astype(np.int32), pa.int32(), mask=~ok), round_trip=pa.array(np.array(same, bool), pa.bool_(), mask=~ok),
-        )
+        got = [_encoded_slice(a, path) for a in slices(array, SLICE)]
+        return got[0] if len(got) == 1 else pa.concat_arrays(got)
 
     return row_udf(call, "ids array<int>, char_start array<int>, char_end array<int>, n_tokens int, round_trip boolean")
 
 
 def decode_udf(path: str = VOCAB):
     def call(array: pa.Array) -> pa.Array:
-        return pa.array([None if i is None else decode_ids(i, path)[0] for i in array.to_pylist()], pa.string())
+        model, got = _load(path), []
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False))
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1:].sum() + 1, SLICE // 4), "left"), [0, len(array)]))
+        for first, last in zip(cuts, cuts[1:]):
+            a = array.slice(first, last - first)
+            ids, n = pc.list_flatten(a).to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False)
+            unknown = [i for i in np.unique(ids).tolist() if i not in model["table"]]
+            if unknown:
+                raise KeyError(unknown[0])
+            got.append(pa.array(decode_flat(ids, n, path), pa.string(), mask=~is_text(a)))
+        return pa.concat_arrays(got) if got else pa.array([], pa.string())
 
     return row_udf(call, "string")
 
@@ -128,7 +206,7 @@ def encode(docs: DataFrame, id_col="doc_id", text_col="text", path: str = VOCAB)
     """(doc_id, ids, char_start, char_end, n_tokens, round_trip) for every row.
 
     Token j covers characters char_start[j] to char_end[j] of the text; tokens that split a character all name it.
-    round_trip says that the ids' bytes are the text's. Null text: null results. Empty text: empty lists, 0 tokens.
+    round_trip says that decoding the ids gives the text. Null text: null results. Empty text: empty lists, 0 tokens.
     Names of special tokens in a text are ordinary text. Texts are encoded whole, of any length; repeated rows give
     repeated results, an empty table none; other columns are ignored.
     """

@@ -14,17 +14,18 @@ _KEPT: dict[str, dict] = {}
 
 
 def worker_cache(name: str, most: int = 400_000) -> dict:
-    """A dict that lives as long as the Python worker; emptied when it holds more than `most` keys.
+    """A dict that lives as long as the Python worker; with more than `most` keys, the later half of them leaves.
 
-    It only saves repeated work: what is asked for and missing is computed again. A worker that goes on to another operator
-    keeps the two dicts that were used last.
+    It only saves repeated work: what is asked for and missing is computed again. Frequent keys come early, so they stay. A
+    worker that goes on to another operator keeps the two dicts that were used last.
     """
     kept = _KEPT.pop(name, {})
     _KEPT[name] = kept
     while len(_KEPT) > 2:
         _KEPT.pop(next(iter(_KEPT)))
     if len(kept) > most:
-        kept.clear()
+        for key in list(kept)[most // 2 :]:
+            del kept[key]
     return kept
 
 
