@@ -99,6 +99,11 @@ def test_neardup(docs, none):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in rows(kept)) == [0, 0, 1, 2, 3, 4, 5, 7, 8]
     assert rows(neardup.keep(none)) == []
+    clash = docs.withColumns({c: F.col("_id") for c in ("_gone", "_again", "_n", "_row", "n", "key", "sig", "bucket", "component", "node", "part", "head")})
+    kept = neardup.keep(clash)
+    assert kept.columns == clash.columns and len(rows(kept)) == 9
+    twice = docs.filter("doc_id = 8").withColumn("_id", F.lit(7)).unionByName(docs.filter("doc_id = 8"))
+    assert [r["_id"] for r in rows(neardup.keep(twice))] == [0]
 
 
 def test_urls(spark, docs):

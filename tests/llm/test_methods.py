@@ -234,6 +234,33 @@ def test_neardup_by_brute_force(docs):
     assert left == {i for i, _ in rows} - {i for i, _ in got}
 
 
+def test_large_buckets_and_components_are_cut(spark):
+    """Blocks of any size give the groups that one task gives: chains whose ends aren't alike, and copies of one text by the hundred."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(5))
+    base, texts = [word() for _ in range(60)], []
+    for _ in range(120):
+        t = list(base)
+        t[rnd.randrange(60)] = word()
+        texts.append(" ".join(t))
+    for _ in range(6):
+        chain = [word() for _ in range(60)]
+        for _ in range(25):
+            i = rnd.randrange(48)
+            chain = [*chain[:i], *[word() for _ in range(10)], *chain[i + 10 :]]
+            texts.append(" ".join(chain))
+    rnd.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    sets = shingle_sets(texts)
+    pairs = [(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if len(a & b) >= neardup.THRESHOLD * len(a | b)]
+    group = components(pairs, range(len(texts)))
+    whole = {(r.doc_id, r.duplicate_of) for r in neardup.duplicates(df).collect()}
+    cut = {(r.doc_id, r.duplicate_of) for r in neardup.duplicates(df, block=7).collect()}
+    narrow = {(r.doc_id, r.duplicate_of) for r in neardup.duplicates(df, block_bytes=2000).collect()}
+    assert whole == cut == narrow and len(whole) > 150
+    assert len(whole ^ {(i, g) for i, g in group.items() if i != g}) <= 0.05 * len(whole)
+
+
 def test_sketches_estimate_and_merge():
     rnd = np.random.default_rng(3)
     for overlap in (0.2, 0.5, 0.8):

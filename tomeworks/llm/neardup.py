@@ -8,6 +8,9 @@ likelihood together with the estimated sizes; what may be alike is then verified
 
 Documents with the same words in the same order are joined first, by a 128-bit hash, so that a thousand copies are one
 document to all that follows. Groups are the connected components of pairs with Jaccard similarity of at least THRESHOLD.
+
+Buckets and components of any size are cut into blocks of bounded size, so that none is one task's: each block is held against
+the first member of all, and what isn't alike to that one, mostly little, against every other block.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ B, A, Q = 1.001, 20.0, 65_534
 THRESHOLD = 0.5
 #: A pair whose estimate is lower than the threshold by more than this isn't verified (about 3 standard errors).
 MARGIN = 0.12
+#: Members of a block, and bytes of their sets, at most (a larger set is a block by itself).
+BLOCK_ROWS, BLOCK_BYTES = 4096, 32 << 20
 _SEED = np.random.default_rng(20_210_101)
 _X = _SEED.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 _M = _SEED.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
@@ -133,7 +138,7 @@ def _sketch(array: pa.Array) -> pa.Array:
     rows = sig.astype("<u2").tobytes()
     width = 2 * REGISTERS
     sigs = [rows[i * width : (i + 1) * width] if k else None for i, k in enumerate(key)]
-    return struct(key=pa.array(key, pa.binary()), sig=pa.array(sigs, pa.binary()))
+    return struct(key=pa.array(key, pa.binary()), sig=pa.array(sigs, pa.binary()), n=pa.array(count, pa.int64()))
 
 
 def _bands(array: pa.Array) -> pa.Array:
@@ -221,6 +226,32 @@ def _linked(least: float):
     return call
 
 
+def _sets_of(column) -> list[np.ndarray]:
+    return [np.frombuffer(s, np.uint64) for s in column.to_pylist()]
+
+
+def by_sets(sets: list[np.ndarray], threshold: float):
+    """alike(one): which of the sets have a Jaccard similarity of at least the threshold to one."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    flat, owner = np.concatenate(sets) if n else np.empty(0, np.uint64), np.repeat(np.arange(n), size)
+
+    def alike(one: np.ndarray) -> np.ndarray:
+        if n <= 2:
+            common = np.array([len(one) if s is one else len(np.intersect1d(one, s, assume_unique=True)) for s in sets], np.int64)
+        else:
+            at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+            common = np.bincount(owner[one[at] == flat], minlength=n)
+        return common >= threshold * (size + len(one) - common)
+
+    return alike
+
+
+def by_sketches(sig: np.ndarray, least: float):
+    """The same for the estimate from sketches."""
+    return lambda one: similarity(np.broadcast_to(one, sig.shape), sig) >= least
+
+
 def verified_groups(ids: np.ndarray, sets: list[np.ndarray], threshold: float) -> np.ndarray:
     """Smallest id of each one's connected component under exact Jaccard similarity of at least the threshold.
 
@@ -229,24 +260,12 @@ def verified_groups(ids: np.ndarray, sets: list[np.ndarray], threshold: float) -
     """
     n = len(ids)
     order = np.argsort(ids, kind="stable")
-    size = np.array([len(s) for s in sets], np.int64)
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    alike = by_sets(sets, threshold)
     group = np.arange(n)
-
-    def alike(x: int) -> np.ndarray:
-        if n == 2:
-            common = np.zeros(n, np.int64)
-            y = 1 - x
-            common[y] = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-        else:
-            at = np.minimum(np.searchsorted(sets[x], flat), len(sets[x]) - 1)
-            common = np.bincount(owner[sets[x][at] == flat], minlength=n)
-        return common >= threshold * (size + size[x] - common)
-
     for x in order:
         if x != order[0] and group[x] == group[order[0]]:
             continue
-        for g in np.unique(group[alike(x)]):
+        for g in np.unique(group[alike(sets[x])]):
             group[group == g] = group[x]
     least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, group, ids)
@@ -255,62 +274,172 @@ def verified_groups(ids: np.ndarray, sets: list[np.ndarray], threshold: float) -
 
 def _resolved(threshold: float):
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, "component"):
-            c, ids = t["component"].to_numpy(), t["id"].to_numpy()
-            sets = [np.frombuffer(s, np.uint64) for s in t["words"].to_pylist()]
+        for t in runs(batches, "part"):
+            c, ids = t["part"].to_numpy(), t["id"].to_numpy()
+            sets = _sets_of(t["words"])
             start = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
             out = [verified_groups(ids[s:e], sets[s:e], threshold) for s, e in zip(start, np.append(start[1:], len(c)))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(out))], names=["id", "first"])
+            yield pa.RecordBatch.from_arrays([t["component"].combine_chunks(), pa.array(ids), pa.array(np.concatenate(out))], names=["component", "id", "first"])
 
     return call
 
 
-def duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold: float = THRESHOLD) -> DataFrame:
+def _crossed(data: str, read, alike_to):
+    """Spanning edges between a block's members and what isn't alike to the first of all: each of the latter is held against all members.
+
+    Members that are alike to the first count as one group, as edges join them already.
+    """
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, "part"):
+            c = table["part"].to_numpy()
+            start = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+            for s, e in zip(start, np.append(start[1:], len(c))):
+                t = table.slice(s, e - s)
+                asks = t["loose"].to_numpy()
+                rows, members = t.filter(pa.array(asks)), t.filter(pa.array(~asks))
+                if not rows.num_rows or not members.num_rows:
+                    continue
+                ids, star = members["id"].to_numpy(), members["star"].to_numpy()
+                alike = alike_to(read(members[data]))
+                edges = []
+                for i, one in zip(rows["id"].to_pylist(), read(rows[data])):
+                    hit = alike(one)
+                    near = ids[hit & ~star].tolist() + ids[hit & star][:1].tolist()
+                    edges += [(min(i, j), max(i, j)) for j in near if i != j]
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
+
+    return call
+
+
+def blocks(members: DataFrame, group: str) -> DataFrame:
+    """Rows of `members` with `part`, a number for each block of each group; the group's first member is in all of its blocks.
+
+    members has the group, `id`, `head` (the group's smallest id) and `nb`, the number of its blocks.
+    """
+    own = F.when(F.col("id") == F.col("head"), F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), "nb").cast("int")))
+    return members.withColumn("b_", F.explode(own)).withColumn("part", F.xxhash64(group, "b_")).drop("b_")
+
+
+def crossed(members: DataFrame, loose: DataFrame, group: str, data: str, block: int, call) -> DataFrame:
+    """(a, b): edges between members and loose members of other blocks. loose has the group and `id`, once; members as for blocks()."""
+    ask = members.join(loose, [group, "id"])
+    many = loose.groupBy(group).agg(F.count("*").alias("many"))
+    counted = many.select(group, F.ceil(F.col("many") / block).cast("int").alias("nl"))
+    here = members.join(counted, group).join(loose.withColumn("not_", F.lit(True)), [group, "id"], "left")
+    here = here.select(group, "id", data, F.pmod(F.xxhash64("id"), "nb").cast("int").alias("b_"), F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("l_"), F.col("not_").isNull().alias("star"), F.lit(False).alias("loose"))
+    there = ask.join(counted, group).select(group, "id", data, F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b_"), F.pmod(F.xxhash64("id", F.lit(5)), "nl").cast("int").alias("l_"), F.lit(False).alias("star"), F.lit(True).alias("loose"))
+    both = here.unionByName(there).select(F.xxhash64(group, "b_", "l_").alias("part"), "id", data, "star", "loose")
+    return both.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(call, "a bigint, b bigint")
+
+
+def candidates(firsts: DataFrame, least: float, block: int) -> tuple[DataFrame, str]:
+    """((a, b), path): edges of a graph whose components are those of all pairs that share a bucket and have an estimate of at least `least`."""
+    spark = firsts.sparkSession
+    bands = firsts.select("id", F.explode(row_udf(_bands, "array<bigint>")("sig")).alias("bucket"))
+    sizes, sizes_at = stored(bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("head")).filter("n > 1").select("bucket", "head", F.ceil(F.col("n") / block).cast("int").alias("nb")), "buckets")
+    members = bands.join(sizes, "bucket").join(firsts.select("id", "sig"), "id")
+    cut = blocks(members, "bucket").select(F.col("part").alias("bucket"), "id", "sig")
+    cut = cut.repartition(F.col("bucket")).sortWithinPartitions("bucket", "id")
+    edges, at = stored(cut.mapInArrow(_linked(least), "a bigint, b bigint").distinct(), "pairs")
+    if sizes.filter("nb > 1").limit(1).count():
+        hot = members.filter("nb > 1")
+        star = edges.select(F.col("a").alias("head"), F.col("b").alias("id"))
+        loose, loose_at = stored(hot.select("bucket", "id", "head").filter("id <> head").join(star, ["head", "id"], "left_anti").select("bucket", "id").distinct(), "loose")
+        more = crossed(hot, loose, "bucket", "sig", block, _crossed("sig", _matrix, lambda sig: by_sketches(sig, least)))
+        every, every_at = stored(edges.unionByName(more).distinct(), "pairs")
+        for path in (at, loose_at):
+            discard(spark, path)
+        edges, at = every, every_at
+    discard(spark, sizes_at)
+    return edges, at
+
+
+def verified(rows: DataFrame, firsts: DataFrame, linked: DataFrame, threshold: float, block: int, block_bytes: int) -> tuple[DataFrame, str]:
+    """((id, first), path): the smallest id of each document's group, for documents of candidate components (node, component)."""
+    spark = rows.sparkSession
+    known = linked.withColumnRenamed("node", "id")
+    size = firsts.select("id", "n").join(known, "id").groupBy("component").agg(F.count("*").alias("many"), F.sum(8 * F.col("n")).alias("bytes"), F.min("id").alias("head"))
+    size, size_at = stored(size.select("component", "head", F.ceil(F.greatest(F.col("many") / block, F.col("bytes") / block_bytes)).cast("int").alias("nb")), "components")
+    known = known.join(size, "component")
+    # an id may stand for several texts; each text that names it is compared. Texts of others aren't moved
+    there = Maybe(linked, "node")
+    texts = rows.withColumn("_maybe", there.has(F.col("id"))).filter("_maybe").drop("_maybe").join(known, "id")
+    sets = texts.select("component", "id", "head", "nb", row_udf(_sets, "binary")("text").alias("words")).filter(F.length("words") > 0).dropDuplicates(["id", "words"])
+    hot = bool(size.filter("nb > 1").limit(1).count())
+    if hot:
+        sets, sets_at = stored(sets, "sets")
+    cut = blocks(sets, "component").select("part", "component", "id", "words").repartition(F.col("part")).sortWithinPartitions("part", "id")
+    first, first_at = stored(cut.mapInArrow(_resolved(threshold), "component bigint, id bigint, first bigint"), "firsts")
+    done = [size_at, first_at]
+    if hot:
+        own = first.join(size.filter("nb > 1"), "component")
+        members = sets.filter("nb > 1")
+        loose, loose_at = stored(own.groupBy("component", "id").agg(F.min(F.col("first") == F.col("head")).alias("star")).filter("NOT star").select("component", "id"), "loose")
+        more = crossed(members, loose, "component", "words", block, _crossed("words", _sets_of, lambda sets: by_sets(sets, threshold)))
+        inside = own.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+        edges, edges_at = stored(inside.unionByName(more).distinct(), "verified")
+        joined, joined_at = components(edges)
+        small = first.join(size.filter("nb = 1").select("component"), "component", "left_semi").select("id", "first")
+        got = small.unionByName(joined.select(F.col("node").alias("id"), F.col("component").alias("first")))
+        done += [sets_at, loose_at, edges_at, joined_at]
+    else:
+        got = first.select("id", "first")
+    groups, groups_at = stored(got.groupBy("id").agg(F.min("first").alias("first")), "groups")
+    for path in done:
+        discard(spark, path)
+    return groups, groups_at
+
+
+def duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold: float = THRESHOLD, block: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, duplicate_of): every document that isn't the one with the smallest id of its group, and that one's id.
 
     Null texts and texts without words are nobody's duplicate, nor are rows with a null id. Texts are compared whole, of any
     length. Rows with the same words and different ids are duplicates; rows that repeat an id with the same words are
-    one document and aren't listed for that. An empty table gives no rows; other columns are ignored.
+    one document and aren't listed for that. An empty table gives no rows; other columns are ignored. A pair at the threshold
+    shares a band with a probability of about 0.9, one of 0.7 with more than 0.999; what shares none isn't found, unless others join it.
     """
     spark = docs.sparkSession
     rows = docs.select(col(docs, id_col).cast("bigint").alias("id"), col(docs, text_col).alias("text")).filter("id IS NOT NULL")
-    sketch = row_udf(_sketch, "key binary, sig binary")
-    all_, _ = stored(rows.select("id", sketch("text").alias("s")).select("id", "s.key", "s.sig").filter("key IS NOT NULL"), "sketches")
+    sketch = row_udf(_sketch, "key binary, sig binary, n bigint")
+    all_, all_at = stored(rows.select("id", sketch("text").alias("s")).select("id", "s.key", "s.sig", "s.n").filter("key IS NOT NULL"), "sketches")
     # one row for all documents with the same words
-    firsts, firsts_at = stored(all_.groupBy("key").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "firsts")
-    bands = firsts.select("id", F.explode(row_udf(_bands, "array<bigint>")("sig")).alias("bucket"))
-    shared = bands.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).filter("n > 1").select("bucket", "id")
-    members = shared.join(firsts.select("id", "sig"), "id").select("bucket", "id", "sig")
-    members = members.repartition(F.col("bucket")).sortWithinPartitions("bucket", "id")
-    edges, edges_at = stored(members.mapInArrow(_linked(threshold - MARGIN), "a bigint, b bigint").distinct(), "pairs")
+    firsts, firsts_at = stored(all_.groupBy("key").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n")), "firsts")
+    edges, edges_at = candidates(firsts, threshold - MARGIN, block)
     linked, linked_at = components(edges)
-    # an id may stand for several texts; each text that names it is compared. Texts of others aren't moved
-    there = Maybe(linked, "node")
-    texts = rows.withColumn("_maybe", there.has(F.col("id"))).filter("_maybe").drop("_maybe").join(linked.withColumnRenamed("node", "id"), "id")
-    sets = texts.select("component", "id", row_udf(_sets, "binary")("text").alias("words")).filter(F.length("words") > 0).dropDuplicates(["id", "words"])
-    sets = sets.repartition(F.col("component")).sortWithinPartitions("component", "id")
-    first = sets.mapInArrow(_resolved(threshold), "id bigint, first bigint").groupBy("id").agg(F.min("first").alias("first"))
-    groups, _ = stored(first, "groups")
-    for path in (edges_at, linked_at):
-        discard(spark, path)
+    groups, groups_at = verified(rows, firsts, linked, threshold, block, block_bytes)
     own = firsts.select("key", "id").join(groups, "id", "left").select("key", F.coalesce("first", "id").alias("duplicate_of"))
-    return all_.select("key", F.col("id").alias("doc_id")).join(own, "key").filter("doc_id <> duplicate_of").select("doc_id", "duplicate_of").distinct()
+    found = all_.select("key", F.col("id").alias("doc_id")).join(own, "key").filter("doc_id <> duplicate_of").select("doc_id", "duplicate_of").distinct()
+    out, _ = stored(found, "duplicates")
+    for path in (all_at, firsts_at, edges_at, linked_at, groups_at):
+        discard(spark, path)
+    return out
 
 
 def keep(docs: DataFrame, id_col="doc_id", text_col="text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, unchanged, that stand for their group: one document of each, and one row of each repeated one.
 
-    Rows with a null id and texts without words stay.
+    Rows with a null id and texts without words stay. Of rows with the same id and text the one that is first as JSON stays.
+    Extra columns may have any names. An empty table gives no rows. Texts are compared whole.
     """
-    gone, _ = stored(duplicates(docs, id_col, text_col, threshold).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    ids = docs.filter(col(docs, id_col).isNotNull()).groupBy(col(docs, id_col).alias("_again")).agg(F.count("*").alias("_n"))
-    again, _ = stored(ids.filter("_n > 1").select("_again"), "again")
-    drop, name = Maybe(gone, "_gone"), free_name(docs, "_maybe")
-    mark = docs.withColumn(name, drop.has(col(docs, id_col).cast("bigint")))
-    sure = mark.filter(~F.col(name)).drop(name)
-    left = mark.filter(F.col(name)).drop(name)
-    left = sure.unionByName(left.join(gone, col(left, id_col) == F.col("_gone"), "left_anti"))
+    spark = docs.sparkSession
+    gone_, again_, n_, maybe_, row_ = (free_name(docs, x) for x in ("_gone", "_again", "_n", "_maybe", "_row"))
+    gone = duplicates(docs, id_col, text_col, threshold).select(F.col("doc_id").alias(gone_)).distinct()
+    ids = docs.filter(col(docs, id_col).isNotNull()).groupBy(col(docs, id_col).alias(again_)).agg(F.count("*").alias(n_))
+    again, _ = stored(ids.filter(F.col(n_) > 1).select(again_), "again")
+
+    def apart(df: DataFrame, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Rows whose id surely isn't among the keys, and the others; only those move."""
+        mark = df.withColumn(maybe_, Maybe(keys, name).has(col(df, id_col).cast("bigint")))
+        return mark.filter(~F.col(maybe_)).drop(maybe_), mark.filter(F.col(maybe_)).drop(maybe_)
+
+    sure, rest = apart(docs, gone, gone_)
+    left = sure.unionByName(rest.join(gone, col(rest, id_col).cast("bigint") == F.col(gone_), "left_anti"))
     if not again.limit(1).count():
         return left
-    single = left.join(again, col(left, id_col) == F.col("_again"), "left_anti")
-    return single.unionByName(left.join(again, col(left, id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col, text_col]))
+    sure, rest = apart(left, again.select(F.col(again_).cast("bigint")), again_)
+    single = rest.join(again, col(rest, id_col) == F.col(again_), "left_anti")
+    whole = F.struct(*[col(rest, c) for c in rest.columns])
+    twice = rest.join(again, col(rest, id_col) == F.col(again_), "left_semi").groupBy(col(rest, id_col).alias(again_), col(rest, text_col).alias(n_)).agg(F.min_by(whole, F.to_json(whole)).alias(row_))
+    twice = twice.select(*[F.col(row_)[c].alias(c) for c in rest.columns])
+    return sure.unionByName(single).unionByName(twice)
