@@ -56,6 +56,16 @@ def test_packing_whole(docs):
         assert spans[-1][1] <= packing.CAPACITY and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_packing_spreads_one_id(spark):
+    """Rows without id, rows that repeat an id, and one very long document fill no shard, and none is lost."""
+    lengths = [(None, 7)] * 5000 + [(1, 9)] * 5000 + [(2, 30_000_000)] + [(10 + i, 5) for i in range(5000)]
+    df = spark.createDataFrame(lengths, "doc_id bigint, n bigint")
+    got = packing.best_fit(df, length_col="n", capacity=100, shard_docs=1000).selectExpr("doc_id", "length", "bin_id >> 36 AS shard", "start")
+    by = {r.doc_id: r for r in got.groupBy(F.when(F.col("doc_id") < 10, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNull(), -1).otherwise(99)).alias("doc_id")).agg(F.count("*").alias("n"), F.sum("length").alias("all"), F.countDistinct("shard").alias("shards")).collect()}
+    assert [(by[k].n, by[k]["all"]) for k in (-1, 1, 2, 99)] == [(5000, 35_000), (5000, 45_000), (300_000, 30_000_000), (5000, 25_000)]
+    assert by[-1].shards > 2 and by[1].shards > 2 and by[2].shards > 10 and by[99].shards > 10
+
+
 # URLs
 
 

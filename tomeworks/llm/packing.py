@@ -4,8 +4,9 @@ A document longer than a sequence is cut; its full pieces are sequences by thems
 other piece goes where the sum over residual gaps g of N(g)**2 becomes smallest, N(g) being the number of open bins
 whose gap is g (full bins don't count). Ties go to the smallest gap, a new bin last.
 
-The rule is sequential, so pieces are spread by a hash of their id over shards of about `shard_docs` documents and each
-shard is packed by itself: the number of shards follows the input, the open bins that a shard leaves are few beside it.
+The rule is sequential, so pieces are spread by a hash over shards of about `shard_docs` documents and each shard is packed by
+itself: the number of shards follows the input, the open bins that a shard leaves are few beside it. Rows of the same id and
+length are counted first and cut into RUN at a time, as is a long document's row of pieces, so no id fills a shard.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from tomeworks.llm.common import col
 
 CAPACITY = 2048
 SHARD_DOCS = 50_000
+#: Rows of one id and length, or pieces of one document, that stay together.
+RUN = 1000
 FIELDS = ["piece", "start", "length", "bin_id", "offset"]
 SCHEMA = "doc_id bigint, piece int, start bigint, length int, bin_id bigint, offset int"
 
 
 def word_count(text: Column) -> Column:
     """Number of words, runs of characters other than white space; 0 for null."""
-    return F.coalesce(F.when(text.rlike(r"\S"), F.size(F.split(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")), r"\s+"))), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
 
 
 def pack(sizes, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,6 +65,9 @@ def pack(sizes, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _shard(capacity: int):
     def run(table: pa.Table) -> pa.Table:
+        times = table["times"].to_numpy()
+        if (times > 1).any():
+            table = table.take(pa.array(np.repeat(np.arange(len(times)), times)))
         table = table.sort_by([(c, "ascending") for c in ("order", "doc_id", "piece", "start", "length")])
         size = table["length"].to_numpy().astype(np.int64)
         b, off = np.full(len(size), -1, np.int64), np.zeros(len(size), np.int32)
@@ -87,8 +93,13 @@ def best_fit(docs: DataFrame, id_col="doc_id", text_col="text", length_col: str
         raise ValueError("capacity must be at least 2")
     length = F.coalesce(col(docs, length_col).cast("bigint"), F.lit(0)) if length_col else word_count(col(docs, text_col)).cast("bigint")
     shards = max(1, -(-docs.count() // shard_docs))
-    flat = docs.select(col(docs, id_col).cast("bigint").alias("doc_id"), F.greatest(length, F.lit(0)).alias("n"))
-    pieces = flat.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / capacity) - 1).cast("int"))).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece").cast("bigint") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - F.col("piece").cast("bigint") * capacity).cast("int").alias("length"), F.xxhash64("doc_id", "piece").alias("order"))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)))
+    rows = docs.select(col(docs, id_col).cast("bigint").alias("doc_id"), F.greatest(length, F.lit(0)).alias("n")).groupBy("doc_id", "n").agg(F.count("*").alias("all"))
+    steps = lambda n, k: F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), F.ceil(n / k).cast("bigint") - 1))
+    runs = rows.select("doc_id", "n", "all", F.explode(steps(F.col("all"), RUN)).alias("copy")).select("doc_id", "n", "copy", F.least(F.lit(RUN), F.col("all") - F.col("copy") * RUN).alias("times"))
+    pieces = runs.select("*", F.explode(steps(F.col("n"), capacity)).alias("piece"))
+    start = F.col("piece") * capacity
+    pieces = pieces.select(
+        "doc_id", F.col("piece").cast("int").alias("piece"), start.alias("start"), F.least(F.lit(capacity), F.col("n") - start).cast("int").alias("length"), F.col("times").cast("int").alias("times"),
+        F.xxhash64("doc_id", "piece").alias("order"), F.pmod(F.xxhash64("doc_id", "n", "copy", F.floor(F.col("piece") / RUN)), F.lit(shards)).alias("shard"),
+    )
     return pieces.groupBy("shard").applyInArrow(_shard(capacity), SCHEMA)
