@@ -169,6 +169,47 @@ def test_langid_held_out(docs):
     assert len(ok) >= 0.97 * len(got) and np.mean([r.lang == r.lang_pred for r in ok]) > 0.98
 
 
+def test_langid_by_plain_zstandard(docs):
+    """Every text against the library itself: block by block, each with a dictionary made anew, then the fewest bytes."""
+    import zstandard
+
+    rows = docs.select("doc_id", "text").orderBy("doc_id").limit(60).collect() + [type("R", (), {"doc_id": -1, "text": "short"})]
+    dicts = langid.fit(docs)
+    names, coders = list(dicts), langid.coders_of(dicts)
+
+    def size(data: bytes, raw: bytes, level: int, shortest: int | None) -> int:
+        total = 0
+        for i in range(0, len(data), langid.BLOCK):
+            own = {"min_match": shortest} if shortest else {}
+            params = zstandard.ZstdCompressionParameters.from_level(level, source_size=langid.BLOCK, dict_size=len(raw), write_content_size=False, write_checksum=False, write_dict_id=False, **own)
+            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            total += len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(langid.CARRIER + data[i : i + langid.BLOCK]))
+        return total
+
+    for r in rows:
+        if not r.text or not r.text.strip():
+            continue
+        data = f" {r.text.strip()} ".casefold().encode()[:20_000]
+        for effort in (langid.EFFORT, langid.MORE_EFFORT):
+            got = sorted((size(data, raw, *effort), k) for k, raw in dicts.items())
+            margin = (got[1][0] - got[0][0]) / got[1][0]
+            if margin >= langid.RECHECK:
+                break
+        text = data.decode(errors="ignore")
+        lang, found, ok = langid.classify(text, names, coders)
+        if len(data) < 20_000:
+            assert lang == got[0][1] and abs(found - margin) < 0.02, (r.doc_id, found, margin)
+
+
+def test_fit_is_bounded(spark):
+    """An id that repeats gives one text, and the texts of one language don't fill the driver."""
+    text = lambda i: " ".join(f"word{i}x{k}" for k in range(700))
+    table = [(1, text(1), "en")] * 500 + [(1, text(2), "en")] * 5 + [(i, text(i), "de") for i in range(10, 60)] + [(99, None, "de"), (None, text(3), "fr"), (98, text(4), None)]
+    df = spark.createDataFrame(table, "doc_id bigint, text string, lang string")
+    dicts = langid.fit(df, rows=20)
+    assert set(dicts) == {"en", "de"} and dicts["en"] == min(text(1), text(2)).encode()[: langid.DICT_BYTES] and len(dicts["de"]) > 50_000
+
+
 def test_dictionaries_do_not_shrink_with_a_rare_label():
     rnd = random.Random(3)
     text = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(300))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tomeworks.llm.common import col, expand, filter_by, row_udf, struct, texts, worker_cache
+from tomeworks.session import discard, stored
 
 #: Labelled rows that the dictionaries of a language are made of, at most.
 SAMPLE_ROWS = 300
@@ -25,6 +26,8 @@ SAMPLE_ROWS = 300
 DICT_BYTES = 112_000
 #: A label with fewer bytes of sample is no language to be told, unless none has that many.
 MIN_BYTES = 4096
+#: Labels with so little text that are told, the longest first, where none has MIN_BYTES.
+FEW = 256
 BLOCK = 2048
 #: Effort, and shortest match if one is set; the second is for texts whose margin is under RECHECK.
 EFFORT, MORE_EFFORT = (6, None), (12, 3)
@@ -38,20 +41,24 @@ FIELDS = ["lang_pred", "margin", "accepted"]
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", rows=SAMPLE_ROWS, dict_bytes=DICT_BYTES) -> dict[str, bytes]:
     """Dictionaries from at most `rows` labelled rows a language, those whose id hashes lowest.
 
-    Rows without a label or text don't count. Ids are chosen first, over id and label alone, so texts are read
-    once and only the chosen ones leave the scan.
+    Rows without a label, text or id don't count, nor do rows that repeat an id and label, but for the first of their texts in
+    order. Ids are chosen first, over id and label alone; of the chosen texts no more leaves the scan than a dictionary holds, each
+    language's is made in a task of its own, and the driver gets dictionaries alone, those below MIN_BYTES only if there is no other.
     """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = docs.filter(col(docs, text_col).isNotNull()).select(col(docs, id_col).alias("id"), col(docs, lang_col).alias("lang"))
-    ids = ids.filter("lang IS NOT NULL AND id IS NOT NULL").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows)
-    chosen = [(r.id, r.lang) for r in ids.select("id", "lang").collect()]
-    if not chosen:
-        return {}
-    sample = docs.filter(col(docs, id_col).isin(sorted({i for i, _ in chosen}))).select(col(docs, id_col).alias("id"), col(docs, lang_col).alias("lang"), col(docs, text_col).alias("text"))
-    by: dict[str, list] = {}
-    for r in sample.filter("text IS NOT NULL AND lang IS NOT NULL").collect():
-        by.setdefault(r.lang, []).append((hash_of(r.text), r.text))
-    return dictionaries({k: [t for _, t in sorted(set(v))] for k, v in by.items()}, dict_bytes)
+    all_ = docs.select(col(docs, id_col).alias("id"), col(docs, lang_col).cast("string").alias("lang"), col(docs, text_col).alias("text")).filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
+    chosen = all_.select("id", "lang").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).select("id", "lang")
+    texts = all_.withColumn("text", F.substring("text", 1, dict_bytes)).join(chosen, ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text"))
+
+    def make(table: pa.Table) -> pa.Table:
+        sample = sorted({(hash_of(t), t) for t in table["text"].to_pylist()})
+        return pa.table({"lang": table["lang"][:1], "raw": pa.array([joined([t for _, t in sample], dict_bytes)], pa.binary())})
+
+    made, at = stored(texts.groupBy("lang").applyInArrow(make, "lang string, raw binary"), "dictionaries")
+    big = made.filter(F.length("raw") >= min(MIN_BYTES, dict_bytes))
+    raw = {r.lang: bytes(r.raw) for r in (big.collect() or made.orderBy(F.desc(F.length("raw")), "lang").limit(FEW).collect())}
+    discard(docs.sparkSession, at)
+    return told(raw, dict_bytes)
 
 
 def hash_of(text: str) -> int:
@@ -67,10 +74,16 @@ def dictionaries(by: dict[str, list[str]], dict_bytes: int = DICT_BYTES) -> dict
     dictionary depends on how much another has. Labels with less than MIN_BYTES are left out, as rare or mistyped ones would draw
     single documents, unless all are so small.
     """
-    raw = {k: slices([t.casefold().encode() for t in v], dict_bytes) for k, v in by.items()}
-    least = min(MIN_BYTES, max(map(len, raw.values()), default=0), dict_bytes)
-    if not any(len(v) >= MIN_BYTES for v in raw.values()):
-        least = 8
+    return told({k: joined(v, dict_bytes) for k, v in by.items()}, dict_bytes)
+
+
+def joined(texts: list[str], dict_bytes: int) -> bytes:
+    return slices([t.casefold().encode() for t in texts], dict_bytes)
+
+
+def told(raw: dict[str, bytes], dict_bytes: int) -> dict[str, bytes]:
+    """The dictionaries that count, in order of their names."""
+    least = min(MIN_BYTES, dict_bytes) if any(len(v) >= min(MIN_BYTES, dict_bytes) for v in raw.values()) else 8
     return {k: v for k, v in sorted(raw.items()) if len(v) >= max(8, least)}
 
 
@@ -158,5 +171,8 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], id_col="doc_id", text_col
 
 
 def keep(docs: DataFrame, dicts: dict[str, bytes], text_col="text", min_margin=MIN_MARGIN) -> DataFrame:
-    """The rows of docs, unchanged, whose language isn't rejected."""
+    """The rows of docs, unchanged, whose language isn't rejected: null, empty and blank texts and ties go, as identify() says.
+
+    Rows that repeat stay or go together; texts count whole; an empty table gives no rows; extra columns may have any names.
+    """
     return filter_by(docs, udf(dicts, min_margin)(col(docs, text_col))["accepted"])
