@@ -121,12 +121,13 @@ def test_skipping_is_exact():
     index = {c: i for i, c in enumerate(pii.CLASSES)}
     for tokens, _ in pii.training_rows(150, 7):
         kinds = [index[pii.classes(t)] for t in tokens]
-        e = np.array([field.score(t) + field.before[kinds[i - 1] if i else 0] + field.after[kinds[i + 1] if i + 1 < len(kinds) else 0] for i, t in enumerate(tokens)])
+        e = np.array([field.score(t) + field.more(pii.contextual(tokens, i)) + field.before[kinds[i - 1] if i else 0] + field.after[kinds[i + 1] if i + 1 < len(kinds) else 0] for i, t in enumerate(tokens)])
         whole = pii.viterbi([e], field.move)[0]
-        text = " ".join(tokens)
-        starts = np.cumsum([0, *[len(t) + 1 for t in tokens]])
-        want = [(int(starts[i]), int(starts[i]) + len(t), int(k)) for i, (t, k) in enumerate(zip(tokens, whole)) if k]
-        assert pii.decode_all(field, [text])[0] == want
+        for gap in (1, 450):
+            text = (" " * gap).join(tokens)
+            starts = np.cumsum([0, *[len(t) + gap for t in tokens]])
+            want = [(int(starts[i]), int(starts[i]) + len(t), int(k)) for i, (t, k) in enumerate(zip(tokens, whole)) if k]
+            assert pii.decode_all(field, [text])[0] == want
 
 
 def test_pii_held_out():
@@ -155,7 +156,9 @@ def test_values_of_letters_only():
     for text in ("password = correcthorse", "my pwd: Hunter", "PASSWORD: swordfish now", 'passwd = "opensesame".', "db_password : letmein", "password=correcthorse", "see: password= hunter", "secret = abcdefghijklmnopqrstuvwxyzabcd"):
         out, spans = pii.redact(text, pii.decode_all(field, [text])[0])
         assert [k for k, _, _ in spans] == ["KEY" if "secret" in text else "PASSWORD"] and not any(v in out for v in ("horse", "Hunter", "hunter", "swordfish", "sesame", "letmein", "mnop")), out
-    for text in ("the password reset page", "a key: value pair", "note: hello there", "x = value", "He said: password rules apply"):
+    for text in ("password =" + " " * 10_000 + "hunter2abc", "password =" + "\n" * 10_000 + "correcthorse", "password 12345678", "password a1b2c3d4", "my password is hunter2abc ok", "x" * 900 + "_password = swordfish"):
+        assert [k for k, _, _ in pii.redact(text, pii.decode_all(field, [text])[0])[1]] == ["PASSWORD"], text[:40]
+    for text in ("the password 2 times", "reset password 2024-01-02 today", "password was 34% of", "the password reset page", "a key: value pair", "note: hello there", "x = value", "He said: password rules apply"):
         assert not pii.decode_all(field, [text])[0], text
 
 

@@ -8,7 +8,8 @@ Decoding is exact but skips what can't matter. A token for which "no personal da
 that neighbours and transitions could add is decided on the spot, and splits its text in two independent chains. Words without digit, @
 or = that have only such words beside them and no cue before them are mostly so; whether they are is computed from the weights, for
 each look of a word, and where they aren't, all tokens are decoded with their neighbours. A word behind a cue such as
-"password =" or "pwd:" has a feature of its own and is always decoded. Chains are decoded together, in numpy batches.
+"password =" or "pwd:" has a feature of its own and is always decoded. Neighbours count however far they are. Shapes are features of
+bounded length: the first 16 runs of a token's form, its first six runs of digits. Chains are decoded together, in numpy batches.
 """
 
 from __future__ import annotations
@@ -43,20 +44,26 @@ _SECRET = ("token", "secret", "api_key", "apikey", "key", "auth")
 
 _CUE = re.compile(rf"(?:.*[_\-.])?(?:({'|'.join(_CUES)})|({'|'.join(_SECRET)}))", re.S)
 _IS = ("=", ":=", ":", "==", "=>")
+#: What may stand in the place of such a sign before a value that isn't a plain word.
+_SAID = ("is", "was", "ist", "es", "est")
 
 
-def behind(before: str, last: str) -> str:
+def behind(before: str, last: str, said: tuple[str, ...] = _IS) -> str:
     """Whether a token that these two precede is the value of a password ("pw") or of a key ("secret"), or of neither ("")."""
-    name = before if last in _IS else last if last[-1:] in (":", "=") else ""
-    m = _CUE.fullmatch(name.strip(_EDGE + "=").lower()) if 0 < len(name) < 200 else None
+    name = before if last in said else last if last[-1:] in (":", "=") else ""
+    m = _CUE.fullmatch(name.strip(_EDGE + "=").lower()) if name else None
     return "" if m is None else "pw" if m[1] else "secret"
 
 
 def contextual(tokens: list[str], i: int) -> tuple[str, ...]:
-    """Names of the features that a token without signs has from what is before it."""
-    if not i or _SIGNS.search(tokens[i]) or tokens[i] in _IS:
+    """Names of the features that a token has from the two before it."""
+    if not i or tokens[i] in _IS:
         return ()
-    cue = behind(tokens[i - 2] if i > 1 else "", tokens[i - 1])
+    before, last = tokens[i - 2] if i > 1 else "", tokens[i - 1]
+    if _SIGNS.search(tokens[i]):
+        cue = behind(before, last, _IS + _SAID)
+        return (f"said={cue}",) if cue else ()
+    cue = behind(before, last)
     return (f"behind={cue}", f"behind={cue}-{min(len(tokens[i]) // 12, 3)}") if cue else ()
 
 
@@ -224,6 +231,25 @@ def value_rows(n: int = 250, seed: int = 12) -> list[tuple[list[str], list[str]]
     return rows
 
 
+def said_rows(n: int = 200, seed: int = 13) -> list[tuple[list[str], list[str]]]:
+    """More labelled rows, of values with digits that follow a cue without a sign, and of short numbers after one, which are none."""
+    rnd = random.Random(seed)
+    pick = lambda letters, k: "".join(rnd.choice(letters) for _ in range(k))
+    low = lambda a, b: pick("abcdefghijklmnopqrstuvwxyz", rnd.randint(a, b))
+    case = lambda w: rnd.choice([w, w, w.capitalize(), w.upper()])
+    rows = []
+    for i in range(n):
+        value = rnd.choice([lambda: low(4, 9) + pick("0123456789", rnd.randint(1, 4)), lambda: low(1, 2) + "".join(pick("0123456789", 1) + low(1, 1) for _ in range(rnd.randint(2, 5))), lambda: pick("0123456789", rnd.randint(6, 10)), lambda: case(low(2, 5)) + pick("0123456789", 2) + low(1, 4)])()
+        label = "PASSWORD"
+        if i % 3 == 2:
+            value, label = rnd.choice([pick("0123456789", rnd.randint(1, 3)), f"{pick('0123456789', 4)}-{pick('0123456789', 2)}-{pick('0123456789', 2)}", f"{pick('0123456789', 2)}%", f"{pick('0123456789', 1)}.{pick('0123456789', 1)}"]), "O"
+        row = [(case(low(1, 11)), "O") for _ in range(rnd.randint(0, 3))] + [(case(rnd.choice(_CUES)), "O")]
+        row += [(rnd.choice(_SAID), "O")] if rnd.random() < 0.4 else []
+        row += [(value, label)] + [(case(low(1, 11)), "O") for _ in range(rnd.randint(0, 3))]
+        rows.append(([t for t, _ in row], [k for _, k in row]))
+    return rows
+
+
 def training_table(spark: SparkSession, n: int = 500, seed: int = 11) -> DataFrame:
     """training_rows() as a table (row_id, tokens, labels)."""
     return spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(training_rows(n, seed))], "row_id int, tokens array<string>, labels array<string>")
@@ -405,19 +431,21 @@ def decode_all(field: Field, strings: list[str]) -> list[list[tuple[int, int, in
         for k, (a, b) in enumerate(spans):
             token = text[a:b]
             score, _, sure = look(token) if b - a < 200 else (field.score(token), 0, False)
-            joined = bool(at) and not text[at[-1][1] : a].strip()
+            joined = bool(at) and TOKEN.search(text, at[-1][1]).start() == a
             if chain and not joined:
                 chains.append(_fenced(chain, field.move, True, at, text))
                 where.append((row, at))
                 chain, at = [], []
             left = text[max(0, a - 200) : a].split()
+            if len(left) < 3 and a > 200:  # the window may have cut them
+                left = _before(text, a, 2)
             context = contextual([*left[-2:], token], len(left[-2:]))
             if context:
                 score = score + field.more(context)
                 sure = field.certain(score)
             if sure and not chain:
                 continue
-            right = TOKEN.search(text, b, min(len(text), b + 200))
+            right = TOKEN.search(text, b)
             e = score + field.before[index[classes(left[-1])] if left else 0] + field.after[index[classes(right.group())] if right else 0]
             if not chain:
                 e = e + (field.move[0] if left else 0)  # the token before is O for sure, or there is none
@@ -438,19 +466,33 @@ def decode_all(field: Field, strings: list[str]) -> list[list[tuple[int, int, in
 
 def _left(text: str, a: int) -> tuple[int, int] | None:
     """Where the token before position a, at which another begins, is; None if there is none."""
-    stop = a
-    while stop and text[stop - 1].isspace():
-        stop -= 1
-    start = stop
-    while start and not text[start - 1].isspace():
-        start -= 1
-    return (start, stop) if stop else None
+    most = 64
+    while True:
+        low = max(0, a - most)
+        part = text[low:a].rstrip()
+        if part:
+            start, stop = low + len(part) - len(part.split()[-1]), low + len(part)
+            if start > low or not low:
+                return start, stop
+        elif not low:
+            return None
+        most *= 4
+
+
+def _before(text: str, a: int, n: int) -> list[str]:
+    """The last n tokens before position a, fewer if there are none."""
+    out: list[str] = []
+    at = _left(text, a)
+    while at and len(out) < n:
+        out.append(text[at[0] : at[1]])
+        at = _left(text, at[0])
+    return out[::-1]
 
 
 def _fenced(chain: list[np.ndarray], move: np.ndarray, ends: bool, at: list, text: str) -> np.ndarray:
     """The chain's scores, its last token's with the move to the sure O that follows, if the chain ends before one."""
     e = np.array(chain)
-    if ends and text[at[-1][1] :].strip():
+    if ends and TOKEN.search(text, at[-1][1]):
         e[-1] = e[-1] + move[:, 0]
     return e
 
@@ -497,14 +539,20 @@ def udf(field: Field):
 
 @functools.cache
 def _default() -> Field:
-    return train([*training_rows(), *value_rows()])
+    return train([*training_rows(), *value_rows(), *said_rows()])
 
 
 def fit(table: DataFrame | None = None) -> Field:
-    """The field trained on a labelled table (tokens, labels), by default training_rows() and value_rows(). The table must be small: it is collected."""
+    """The field trained on a labelled table (tokens, labels), by default training_rows(), value_rows() and said_rows(). The table must be small: it is collected.
+
+    Rows without tokens or labels don't count, nor do tokens or labels that are null or a label that isn't known; other columns are ignored.
+    """
     if table is None:
         return _default()
-    rows = [(list(r.tokens), list(r.labels)) for r in table.select("tokens", "labels").collect() if r.tokens is not None]
+    rows = []
+    for r in table.select("tokens", "labels").collect():
+        pairs = [(t, k) for t, k in zip(r.tokens or (), r.labels or ()) if t and t.strip() and k in LABELS]
+        rows.append(([t for t, _ in pairs], [k for _, k in pairs]))
     return train(rows)
 
 
@@ -518,7 +566,11 @@ def redacted(docs: DataFrame, field: Field, id_col="doc_id", text_col="text") ->
 
 
 def clean(docs: DataFrame, field: Field, text_col="text") -> DataFrame:
-    """docs with redacted texts; rows, other columns and their order stay."""
+    """docs with redacted texts; rows, other columns and their order stay.
+
+    Null and empty texts stay as they are; texts count whole; rows that repeat are redacted alike; an empty table gives no rows;
+    extra columns may have any names.
+    """
     name = free_name(docs, "_pii")
     done = docs.withColumn(name, udf(field)(col(docs, text_col)))
     return done.select(*[col(done, name)["text"].alias(c) if c == text_col else col(done, c) for c in docs.columns])
