@@ -360,6 +360,35 @@ def test_spaced_and_separated_letters():
         assert model.score(text, {})[0] < 0, text
 
 
+def test_signs_at_both_ends():
+    """However many signs begin or end a word, they may be its letters, or decoration."""
+    grams: dict[str, float] = {}
+    for w in ("mess", "scum", "idiots", "hello", "there"):
+        s = "^^^" + w + "$"
+        for i in range(len(w) + 1):
+            grams[s[i : i + 4]] = grams.get(s[i : i + 4], 0) + 50
+    model = toxicity.Model({"^mess": 4.0, "scum": 4.0, "idiots": 4.0}, -2.0, toxicity.Characters(grams), "e")
+    for text in ("me$$!", "me$$!!", "me$$!!!!!!", "me$$!?!?!?", "ME$$", "$$$cum", "$$$$$cum!!!!", "!!!!scum", "idiot$!!!!", "1d10t$$$$"):
+        assert model.score(text, {})[0] > 0, text
+    for text in ("me!", "me", "idiot!!!!", "hello$$$$$$", "$$$$", "$$$there", "me!!!!$$"):
+        assert model.score(text, {})[0] < 0, text
+    for tail in ("$", "$$", "$$!", "!$", "s", "$!$!" * 2000):
+        letters = {""}
+        for c in tail[:6]:
+            letters |= {x + k for x in letters for k in toxicity.LEET.get(c, "")}
+        assert set(model.finished("me", tail)) <= {"mess"} and ("mess" in model.finished("me", tail)) == tail.startswith("$$")
+
+
+def test_toxicity_fit_with_repeated_rows(spark):
+    rows = [(i, "a plain text of words" if i % 2 else "you awful scumbag", i % 2 == 0) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(0, "you awful scumbag")] * 300 + [(None, "x"), (3, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows] * 3 + [(None, 1), (5, None)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.weights and model.score("you awful scumbag", {})[0] > 0 > model.score("a plain text", {})[0]
+    once = toxicity.fit(docs.dropDuplicates(), labels.dropDuplicates())
+    assert (once.weights, once.bias, once.key) == (model.weights, model.bias, model.key)
+
+
 def test_decode_by_brute_force():
     grams = {"^^^i": 9.0, "^^id": 9.0, "^ido": 5.0, "ido$": 4.0, "^^^l": 2.0, "^^lo": 2.0, "^lo$": 2.0}
     model = toxicity.Characters(grams)
