@@ -108,15 +108,20 @@ def test_neardup(docs, none):
 
 def test_urls(spark, docs):
     long = "http://www." + "cheappills" * 200 + ".com/" + "a/" * 5000
-    table = [(1, None, None, "h"), (2, "", "<p>x</p>", "h"), (3, long, None, "h"), (4, "http://1.2.3.4:80/x", "", "h"), (5, "http://cheap-pills.com", None, "h"), (5, "http://cheap-pills.com", None, "h"), (None, "%%%\x00", None, "h")]
+    table = [(1, None, None, "h"), (2, "", "<p>pages</p>", "h"), (3, long, None, "h"), (4, "http://1.2.3.4:80/x", "", "h"), (5, "http://cheap-pills.com", None, "h"), (5, "http://cheap-pills.com", None, "h"), (None, "%%%\x00", None, "h")]
     pages = spark.createDataFrame(table, "page_id bigint, url string, html string, host string")
     model = urls.fit(pages)
     got = rows(urls.classify(pages, model))
     by = {r.page_id: r for r in got}
-    assert len(got) == 7 and by[1].host is None and not by[1].blocked and not by[2].blocked and not by[4].blocked and by[4].host_words == [] and by[5].blocked
+    assert len(got) == 7 and by[1].host is None and not by[1].blocked and not by[2].blocked and by[3].blocked and not by[4].blocked and by[4].host_words == [] and by[5].blocked
     kept = urls.keep(pages, model)
     assert kept.columns == pages.columns and len(rows(kept.filter("page_id = 5"))) == 0
     assert rows(urls.classify(pages.limit(0), urls.fit(pages.limit(0)))) == []
+    clash = pages.withColumns({c: F.lit(1) for c in ("_blocked", "_maybe", "key", "run", "words", "category")})
+    kept = urls.keep(clash, urls.fit(clash))
+    assert kept.columns == clash.columns and sorted((r.page_id or 0) for r in rows(kept)) == [0, 1, 2, 4]
+    nobody = urls.fit(pages, table=spark.createDataFrame([], "url string, category string"))
+    assert not any(r.blocked for r in rows(urls.classify(pages, nobody)))
 
 
 def test_ann(spark):

@@ -71,36 +71,73 @@ def test_packing_spreads_one_id(spark):
 
 def test_segmentation_by_brute_force():
     model = urls.Unigrams({"the": 0.5, "them": 0.1, "met": 0.1, "me": 0.1, "t": 0.01})
-    for name in ("themet", "themetx", "xthe", "metthe", ""):
+    for name in ("themet", "themetx", "xthe", "metthe", "xxthexxxmetxx", "txthem", ""):
         def score(parts):
-            return sum(model.log.get(p, model.unknown(len(p))) for p in parts)
+            return sum(max(model.log.get(p, -math.inf), model.unknown(len(p))) for p in parts)
 
         ways = [[name[a:b] for a, b in zip((0, *cut), (*cut, len(name)))] for r in range(len(name)) for cut in itertools.combinations(range(1, len(name)), r)] if name else [[]]
         assert math.isclose(score(model.split(name)), max(map(score, ways)))
 
 
-def test_urls_held_out(spark):
-    model = urls.Model({}, urls.training_rows())
-    rows = urls.training_rows(200, 99)
-    got = [(c, urls.Model.classify(model, *model.segment(u, {})[1:])) for u, c in rows]
-    assert np.mean([odds > 0 for c, (_, odds) in got if c == urls.OK]) < 0.02
-    assert np.mean([odds > 0 for c, (_, odds) in got if c != urls.OK]) > 0.85
-    assert model.segment("https://www.cheappills.example.com/buy-now?x=casino", {})[1] == ["cheap", "pills", "example"]
-    fine = ["https://blog.thertion.example.org/en/1", "http://animalfarm.org", "https://news.example.com/sports/win", "http://therapist.com/"]
-    bad = ["http://casino-win.example.org/en/14", "https://freebets.com", "http://adstrack.net/x", "https://spam-farm.example.org/en/728", "http://cheap-pills.example.com"]
-    odds = lambda u: model.classify(*model.segment(u, {})[1:])[1]
-    assert all(odds(u) <= 0 for u in fine) and all(odds(u) > 0 for u in bad)
+def words_by_hand(url, model_words):
+    _, names, path = urls.parts(url)
+    return [w for r in (*names, *path) for w in (model_words.split(r) if r.isalpha() else [r])]
 
 
-def test_rare_words_are_kept(spark):
-    """Words count however small their share is; a source that repeats itself pushes none out."""
-    rare = [(1, "https://pharmacology.example.org/marsupials", "pharmacology <b>marsupials</b> quokkas")]
+def test_urls_held_out():
+    """Fifths of the labelled table against models of the other rows, whose words alone are known; each host once more with its words run together."""
+    rows, good, bad = urls.training_rows(), [], []
+    for k in range(5):
+        train = [r for i, r in enumerate(rows) if i % 5 != k]
+        words = urls.Unigrams(dict.fromkeys(urls.seeds(train), urls.SEED_SHARE))
+        bayes = urls.Bayes([(c, words_by_hand(u, words)) for u, c in train])
+        for u, c in rows[k::5]:
+            for form in (u, u.replace("-", "")):
+                (good if c == urls.OK else bad).append(bayes.classify(words_by_hand(form, words))[1] > 0)
+    assert np.mean(bad) > 0.95 and np.mean(good) < 0.2  # many of the good ones were picked for words of both kinds
+
+
+def test_urls_known_cases(spark):
+    cases = {
+        **dict.fromkeys(["https://blog.thertion.example.org/en/1", "http://animalfarm.org", "https://news.example.com/sports/win", "http://therapist.com/", "http://zorblax.com/"], False),
+        **dict.fromkeys(["http://casino-win.example.org/en/14", "https://freebets.com", "http://adstrack.net/x", "https://spam-farm.example.org/en/728", "http://cheap-pills.example.com", "http://" + "cheappills" * 200 + ".com"], True),
+    }
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(cases)] + [(99, "https://www.cheappills.example.com/buy-now?x=casino", "")], "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in urls.classify(pages, urls.fit(pages)).collect()}
+    assert [got[i].blocked for i in range(len(cases))] == list(cases.values())
+    assert got[99].host_words == ["cheap", "pills", "example"] and got[len(cases) - 1].host_words == ["cheap", "pills"] * 200
+    own = spark.createDataFrame([(f"http://zorblax{i}.com", "spam") for i in range(20)] + [(f"http://plain{i}.org/page", "ok") for i in range(20)] + [(None, "ok"), ("http://x.com", None)], "url string, category string")
+    got = {r.page_id: r for r in urls.classify(pages, urls.fit(pages, table=own)).collect()}
+    assert got[4].blocked and got[4].category == "spam" and not got[0].blocked
+
+
+def test_urls_by_brute_force(spark, sf):
+    """Every page against plain Python over the whole vocabulary."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    counts = {r.w: r.n for r in urls.counted(pages).collect()}
+    total, rows = sum(counts.values()), urls.training_rows()
+    share = {w: n / total for w, n in counts.items()}
+    for w in urls.seeds(rows):
+        share[w] = max(share.get(w, 0.0), urls.SEED_SHARE)
+    words = urls.Unigrams(share)
+    bayes = urls.Bayes([(c, words_by_hand(u, words)) for u, c in rows])
+    urls_of = {r.page_id: r.url for r in pages.select("page_id", "url").collect()}
+    got = urls.classify(pages, urls.fit(pages)).collect()
+    assert len(got) == pages.count()
+    for r in got:
+        want = words_by_hand(urls_of[r.page_id], words)
+        category, odds = bayes.classify(want)
+        assert r.host_words + r.path_words == want and r.category == category and math.isclose(r.score, odds, abs_tol=1e-9) and r.blocked == (odds > 0)
+
+
+def test_rare_and_long_words_are_kept(spark):
+    """Words count however small their share is and however long they are; a source that repeats itself pushes none out."""
+    long = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    rare = [(1, f"https://pharmacology.example.org/marsupials/{long}quokkas", f"pharmacology <b>marsupials</b> quokkas {long}")]
     hot = [(2 + i, "https://example.org/", "common words " * 5000) for i in range(20)]
     pages = spark.createDataFrame(rare + hot, "page_id bigint, url string, html string")
-    share = urls.shares(pages)
-    assert set(share) == {"pharmacology", "marsupials"} and math.isclose(share["marsupials"], 1 / 200_003)
     got = {r.page_id: r for r in urls.classify(pages, urls.fit(pages)).collect()}
-    assert got[1].host_words == ["pharmacology", "example"] and got[1].path_words == ["marsupials"] and not got[1].blocked
+    assert got[1].host_words == ["pharmacology", "example"] and got[1].path_words == ["marsupials", long, "quokkas"] and not got[1].blocked
 
 
 # personal data
