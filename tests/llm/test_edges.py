@@ -128,9 +128,16 @@ def test_ann(spark):
     nan = float("nan")
     table = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [1.0, 0.0]), (6, [1.0, 0.0]), (7, [1.0]), (8, []), (None, [1.0, 0.0]), (9, [None, 1.0])]
     v = spark.createDataFrame([(i, e, 0) for i, e in table], "vec_id bigint, embedding array<float>, part int")
-    by = {r.vec_id: r for r in rows(ann.neighbours(v, k=2))}
+    by = {r.vec_id: r for r in rows(ann.neighbours(v, k=2, every=1))}
     assert sorted(by) == [1, 2, 3, 4, 5, 6, 7, 8, 9]
     assert by[1].neighbours == [6, 2] and by[6].neighbours == [1, 2] and by[2].neighbours == [1, 6] and by[4].neighbours == [1, 2]
     assert all(by[i].neighbours is None for i in (3, 5, 7, 8, 9))
-    assert rows(ann.neighbours(v.limit(0))) == []
-    assert rows(ann.neighbours(v.filter("vec_id = 1")))[0].neighbours == []
+    assert rows(ann.neighbours(v.limit(0), every=1)) == []
+    assert rows(ann.neighbours(v.filter("vec_id = 1"), every=1))[0].neighbours == []
+    # many parts, with nulls, ties and copies
+    rnd = random.Random(3)
+    table = [(i, [rnd.random() for _ in range(4)] if i % 3 else [1.0, 0.0, 0.0, 0.0]) for i in range(400)] + [(i, None) for i in range(400, 420)] + [(5, [0.0, 1.0, 0.0, 0.0])]
+    v = spark.createDataFrame(table, "vec_id bigint, embedding array<float>")
+    by = {r.vec_id: r for r in rows(ann.neighbours(v, k=3, every=10))}
+    assert sorted(by) == list(range(0, 420, 10)) and by[400].neighbours is None and len(by[390].neighbours) == 3
+    assert all(s == pytest.approx(1.0) for s in by[300].similarities)

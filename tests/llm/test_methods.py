@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tomeworks.llm import ann, bpe, common, langid, lattice, neardup, packing, pii, toxicity, urls, winnow
+from tomeworks.llm import ann, bpe, common, langid, lattice, neardup, packing, pii, queries, toxicity, urls, winnow
 
 
 @pytest.fixture(scope="module")
@@ -537,7 +537,7 @@ def test_recall(spark, spread):
     centres = rnd.standard_normal((12, 16))
     x = (centres[rnd.integers(0, 12, 2500)] + spread * rnd.standard_normal((2500, 16))).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
-    got = {r.vec_id: r.neighbours for r in ann.neighbours(df, part_rows=200).collect()}
+    got = {r.vec_id: r.neighbours for r in ann.neighbours(df, every=1, part_rows=200).collect()}
     u = ann.unit(x)
     sim = u @ u.T
     np.fill_diagonal(sim, -2)
@@ -553,7 +553,7 @@ def test_all_vectors_are_in_balanced_parts(spark):
     cut = ann.partition(spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id bigint, x binary"), 3000, 16, 30, cell=300)
     sizes = np.bincount([r.part for r in cut.select("part").collect()], minlength=30)
     assert len(sizes) == 30 and sizes.sum() == 3000 and sizes.max() <= 104 and sizes.min() >= 96
-    got = {r.vec_id: r.neighbours for r in ann.neighbours(df, part_rows=100, cell=300).collect()}
+    got = {r.vec_id: r.neighbours for r in ann.neighbours(df, every=1, part_rows=100, cell=300).collect()}
     sim = x @ x.T
     np.fill_diagonal(sim, -2)
     kth = np.sort(sim, 1)[:, -ann.K]
@@ -561,6 +561,32 @@ def test_all_vectors_are_in_balanced_parts(spark):
     assert hits.mean() >= 0.9 and hits[2800:].mean() >= 0.9
 
 
+def test_every_vector_is_indexed_beyond_the_fit(spark):
+    """An index fitted on a part of the vectors holds all of them; queries are the rows whose id is divisible."""
+    rnd = np.random.default_rng(10)
+    centres = rnd.standard_normal((12, 16))
+    x = ann.unit((centres[rnd.integers(0, 12, 3000)] + 0.35 * rnd.standard_normal((3000, 16))).astype(np.float32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {r.vec_id: r.neighbours for r in ann.neighbours(df, every=10, part_rows=100, most=1000).collect()}
+    sim = x @ x.T
+    np.fill_diagonal(sim, -2)
+    true = {i: set(np.argsort(-sim[i])[: ann.K].tolist()) for i in range(0, 3000, 10)}
+    assert set(got) == set(true) and np.mean([len(set(got[i]) & true[i]) for i in true]) / ann.K >= 0.9
+
+
+def test_registered_search_by_brute_force(spark, sf):
+    """The query as it is registered: several parts, and every neighbour of at least nine in ten."""
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = {r.vec_id: r.embedding for r in df.collect()}
+    ids = sorted(rows)
+    assert 1 < ann.number_of_parts(len(ids)) and ann.number_of_parts(51_282) == 16 and ann.number_of_parts(10**7) == 2442
+    x = ann.unit(np.array([rows[i] for i in ids], np.float32))
+    got = {r.vec_id: r.neighbours for r in queries.op10_neighbours(spark, sf).collect()}
+    assert sorted(got) == [i for i in ids if i % 100 == 0]
+    hits = [len(set(got[i]) & {ids[j] for j in np.argsort(-(x @ x[ids.index(i)]))[: ann.K + 1]} - {i}) for i in got]
+    assert np.mean(hits) / ann.K >= 0.9
+
+
 def test_router_of_averaged_weights(spark):
     rnd = np.random.default_rng(9)
     x = ann.unit((4 * np.eye(16)[np.arange(2000) % 8] + rnd.standard_normal((2000, 16))).astype(np.float32))

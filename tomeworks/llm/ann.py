@@ -4,11 +4,13 @@ All vectors are cut into cells by a tree: each node is cut across its main direc
 proportion, until a cell has at most CELL vectors. In each cell the neighbour graph of all its vectors is cut into balanced parts
 of few crossing edges, by recursive bisection along the second eigenvector and swaps over the cut. So every vector lies in a part by
 these cuts, and the number of parts follows that of vectors. A small network with one hidden layer learns from each vector which
-parts its neighbours are in; as a query a vector visits its own part and then the likeliest others, and is compared with every
-vector there. How many parts that takes is measured for each part: some of its queries are held against all vectors, and the
-fewest with at least TARGET of their true neighbours are taken for all of its vectors.
+parts its neighbours are in. A query visits its own part and then the likeliest others, until the probability of those visited
+reaches a confidence, and is compared with every vector there: where the network is unsure, it visits more. The confidence is measured:
+the least at which some queries of every part, held against all vectors, get TARGET of their true neighbours.
 
-Parts are cut into blocks of bounded size on both sides, vectors and queries, so a crowded part costs time and no memory.
+The network goes to every task, so it has MOST_PARTS outputs at most. Beyond MOST_PARTS x PART_ROWS vectors the index is fitted on so many
+of them, those whose ids hash lowest, and the network puts the others into parts; all are indexed. Parts are cut into blocks of
+bounded size on both sides, vectors and queries, so a crowded part costs time and no memory.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ from tomeworks.session import discard, stored
 K = 10
 #: Vectors of a cell, whose neighbour graph is made in one task, at most.
 CELL = 12_288
-#: Vectors a part, so the number of parts follows the input; parts of tables that are asked for smaller ones have PER_PART on average at least.
-PART_ROWS, PER_PART = 4096, 48
+#: Vectors a part, so the number of parts follows the input; small tables have up to FEW_PARTS of PER_PART on average at least.
+PART_ROWS, PER_PART, FEW_PARTS, MOST_PARTS = 4096, 48, 16, 4096
 GRAPH = 12
-#: Queries of each part that its number of probes is measured with, and the share of true neighbours that is asked for.
-TRIALS, TARGET = 32, 0.95
+#: Queries that the confidence is measured with, as many from each part, and one at least; the share of true neighbours that is asked for.
+TRIALS, TARGET = 512, 0.95
+#: Rows whose id is divisible by this are queries.
+EVERY = 100
 #: Vectors that one task trains the network on; with more of them, weights are averaged after each of ROUNDS.
 BUCKET, ROUNDS = 65_536, 4
 BASE_BLOCK, QUERY_BLOCK = 8192, 8192
@@ -133,11 +137,15 @@ class Router:
         a, b, c, d = self.weights
         return np.maximum(x @ a + b, 0) @ c + d
 
-    def order(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
-        """Parts of each vector: its own, then the likeliest; ties: the part first in order."""
+    def order(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(parts of each vector: its own, then the likeliest; the probability of all that come before each). Ties: the part first in order."""
         z = self.scores(x)
+        p = np.exp((z - z.max(1, keepdims=True)).astype(np.float64))
+        p /= p.sum(1, keepdims=True)
         z[np.arange(len(x)), home] = np.inf
-        return np.argsort(-z, axis=1, kind="stable").astype(np.int32)
+        order = np.argsort(-z, axis=1, kind="stable")
+        own = np.take_along_axis(p, order, 1)
+        return order.astype(np.int32), np.cumsum(own, 1) - own
 
 
 def start(dim: int, parts: int, hidden: int = HIDDEN, seed: int = 1) -> list[np.ndarray]:
@@ -328,34 +336,54 @@ def _bytes(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
 
 
-def _unit(dim: int):
-    def call(array: pa.Array) -> pa.Array:
-        return pa.array([r.tobytes() for r in unit(matrix(array, dim))], pa.binary())
+def _unit():
+    """Bytes of each list at length 1, lists of any lengths; null for null."""
+    return row_udf(_units, "binary")
+
 
-    return row_udf(call, "binary")
+def _units(array: pa.Array) -> pa.Array:
+    out: list = [None] * len(array)
+    size = pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False)
+    for dim in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == dim)
+        for i, r in zip(at.tolist(), unit(matrix(array.take(pa.array(at)), dim))):
+            out[i] = r.tobytes()
+    return pa.array(out, pa.binary())
 
 
-def _visits(sent, probes: np.ndarray, dim: int):
-    """The parts that each vector visits as a query: as many as its own part has probes."""
+def _visits(sent, confidence: float, dim: int):
+    """The parts that each vector visits as a query."""
 
     def call(array: pa.Array) -> pa.Array:
-        x, home = _bytes(array.field("x"), dim), array.field("part").to_numpy()
-        got = [o[: probes[h]] for i in range(0, len(x), 512) for o, h in zip(sent.value.order(x[i : i + 512], home[i : i + 512]), home[i : i + 512])]
-        off = np.append(0, np.cumsum(probes[home])).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(got) if got else np.empty(0, np.int32), pa.int32()))
+        x, home, got = _bytes(array.field("x"), dim), array.field("part").to_numpy(), []
+        for i in range(0, len(x), 512):
+            order, before = sent.value.order(x[i : i + 512], home[i : i + 512])
+            got += [o[: max(1, int((b < confidence).sum()))] for o, b in zip(order, before)]
+        return pa.array(got, pa.list_(pa.int32()))
 
     return row_udf(call, "array<int>")
 
 
 def _places(sent, dim: int):
-    """Where in a query's order the parts are that its true neighbours lie in."""
+    """The probability of all parts before the one that each true neighbour of a query lies in."""
 
     def call(array: pa.Array) -> pa.Array:
-        x, home, near = _bytes(array.field("x"), dim), array.field("part").to_numpy(), array.field("near").to_pylist()
-        place = [np.argsort(o)[p].tolist() for i in range(0, len(x), 512) for o, p in zip(sent.value.order(x[i : i + 512], home[i : i + 512]), near[i : i + 512])]
-        return pa.array(place, pa.list_(pa.int32()))
+        x, home, near, got = _bytes(array.field("x"), dim), array.field("part").to_numpy(), array.field("near").to_pylist(), []
+        for i in range(0, len(x), 512):
+            order, before = sent.value.order(x[i : i + 512], home[i : i + 512])
+            got += [b[np.argsort(o)[p]].tolist() for o, b, p in zip(order, before, near[i : i + 512])]
+        return pa.array(got, pa.list_(pa.float64()))
 
-    return row_udf(call, "array<int>")
+    return row_udf(call, "array<double>")
+
+
+def _home(sent, dim: int):
+    def call(array: pa.Array) -> pa.Array:
+        x = _bytes(array, dim)
+        got = [sent.value.scores(x[i : i + 4096]).argmax(1) for i in range(0, len(x), 4096)]
+        return pa.array(np.concatenate(got) if got else np.empty(0, int), pa.int32())
+
+    return row_udf(call, "int")
 
 
 def _trial(sent, dim: int, k: int):
@@ -387,21 +415,18 @@ def _trial(sent, dim: int, k: int):
     return call
 
 
-def probes_needed(base: DataFrame, router, dim: int, k: int, parts: int, trials: int = TRIALS, target: float = TARGET) -> np.ndarray:
-    """For each part: the fewest parts to visit that hold at least `target` of the true k nearest of `trials` of its vectors, held against all vectors."""
+def confidence_needed(base: DataFrame, router, dim: int, k: int, parts: int, trials: int = TRIALS, target: float = TARGET) -> float:
+    """The least confidence at which queries of every part, `trials` in all or one of each, get at least `target` of their true k nearest of all vectors."""
     order = Window.partitionBy("part").orderBy(F.xxhash64("id", F.lit(1)), "id")
-    chosen = base.select("id", "part").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= trials).select("id")
+    chosen = base.select("id", "part").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max(1, -(-trials // parts))).select("id")
     asked = base.join(chosen, "id", "left_semi").select("id", "x", "part")
-    got = asked.toArrow()
+    got = asked.toArrow()  # some `trials` or `parts`, both bounded
     sent = base.sparkSession.sparkContext.broadcast((got["id"].to_numpy(), _bytes(got["x"], dim)))
     near = base.select("id", "x", "part").mapInArrow(_trial(sent, dim, k), "q bigint, id bigint, sim double, near int")
     near = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))).filter(F.col("n") <= k).groupBy("q").agg(F.collect_list("near").alias("near"))
-    places = asked.join(near.withColumnRenamed("q", "id"), "id").select("part", _places(router, dim)(F.struct("x", "part", "near")).alias("at"))
-    rows = places.select("part", F.explode("at").alias("at")).groupBy("part", "at").agg(F.count("*").alias("n")).toArrow().to_pandas()
-    out = np.ones(parts, int)
-    for part, own in rows.sort_values("at").groupby("part"):
-        out[part] = own["at"].to_numpy()[np.searchsorted(own["n"].cumsum().to_numpy(), math.ceil(target * own["n"].sum()))] + 1
-    return out
+    places = asked.join(near.withColumnRenamed("q", "id"), "id").select(F.explode(_places(router, dim)(F.struct("x", "part", "near"))).alias("at")).toArrow()["at"].to_numpy()
+    places = np.sort(places)
+    return float(np.nextafter(places[min(len(places) - 1, math.ceil(target * len(places)) - 1)], 2.0)) if len(places) else 1.0
 
 
 def partition(vectors: DataFrame, n: int, dim: int, parts: int, cell: int = CELL) -> DataFrame:
@@ -440,10 +465,17 @@ def _search(dim: int, k: int):
     return call
 
 
-def neighbours(vectors: DataFrame, id_col="vec_id", vec_col="embedding", k: int = K, target: float = TARGET, cell: int = CELL, part_rows: int = PART_ROWS) -> DataFrame:
-    """(vec_id, neighbours, similarities): for every id, the ids of its k nearest others by cosine, the nearest first.
+def number_of_parts(n: int, part_rows: int = PART_ROWS) -> int:
+    """Parts of n vectors."""
+    return max(1, min(MOST_PARTS, n // PER_PART, max(-(-n // part_rows), FEW_PARTS)))
+
+
+def neighbours(
+    vectors: DataFrame, id_col="vec_id", vec_col="embedding", k: int = K, every: int = EVERY, target: float = TARGET, cell: int = CELL, part_rows: int = PART_ROWS, most: int = MOST_PARTS * PART_ROWS
+) -> DataFrame:
+    """(vec_id, neighbours, similarities): for every id divisible by `every`, the ids of its k nearest others of all rows by cosine, the nearest first.
 
-    Every row is a query. Fewer than k others: all of them. Ties: the smaller id. Rows that repeat an id are one vector,
+    With every=1 each row is a query. Fewer than k others: all of them. Ties: the smaller id. Rows that repeat an id are one vector,
     the smallest in order of its numbers. Null ids aren't listed. Null vectors, those with a null or no finite number and
     those whose length isn't the commonest: null lists, and nobody's neighbour. Vectors of zeros are as far from all. An empty
     table gives no rows; other columns are ignored.
@@ -451,38 +483,49 @@ def neighbours(vectors: DataFrame, id_col="vec_id", vec_col="embedding", k: int
     spark = vectors.sparkSession
     flat = vectors.select(col(vectors, id_col).cast("bigint").alias("id"), col(vectors, vec_col).cast("array<float>").alias("v")).filter("id IS NOT NULL")
     size = F.when(F.col("v").isNotNull() & ~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & (F.size("v") > 0), F.size("v"))
-    rows, rows_at = stored(flat.withColumn("dim", size).groupBy("id").agg(F.min(F.when(F.col("dim").isNotNull(), F.struct("dim", "v"))).alias("s")).select("id", "s.dim", "s.v"), "vectors")
+    once = flat.withColumn("dim", size).groupBy("id").agg(F.min(F.when(F.col("dim").isNotNull(), F.struct("dim", "v"))).alias("s"))
+    rows, rows_at = stored(once.select("id", "s.dim", _unit()(F.col("s.v")).alias("x")), "vectors")
+    asks = F.pmod("id", F.lit(every)) == 0
     sizes = rows.filter("dim IS NOT NULL").groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     empty = F.lit(None).cast("array<bigint>").alias("neighbours"), F.lit(None).cast("array<float>").alias("similarities")
     if not sizes:
-        return rows.select(F.col("id").alias("vec_id"), *empty)
+        return rows.filter(asks).select(F.col("id").alias("vec_id"), *empty)
     dim, n = sizes[0]
-    good = rows.filter(F.col("dim") == dim).select("id", "v")
-    parts = max(1, min(-(-n // part_rows), n // PER_PART))
-    even, even_at = stored(good.select("id", _unit(dim)("v").alias("x")), "unit")
+    even = rows.filter(F.col("dim") == dim).select("id", "x")
+    fitted, m = even, n
+    if n > most:
+        low = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < int(most / n * (1 << 30))
+        fitted = even.filter(low)
+        m = fitted.count()
+    parts, paths = number_of_parts(m, part_rows), []
     if parts > 1:
-        cut, cut_at = stored(partition(even, n, dim, parts, cell), "parts")
-        router = spark.sparkContext.broadcast(fit(cut, n, dim, parts))
-        probes = probes_needed(cut, router, dim, k, parts, target=target)
-        order = _visits(router, probes, dim)(F.struct("x", "part"))
+        base, at = stored(partition(fitted, m, dim, parts, cell), "parts")
+        paths.append(at)
+        router = spark.sparkContext.broadcast(fit(base, m, dim, parts))
+        if n > most:
+            base, at = stored(base.select("id", "x", "part").unionByName(even.filter(~low).select("id", "x", _home(router, dim)("x").alias("part"))), "parts")
+            paths.append(at)
+        order = _visits(router, confidence_needed(base, router, dim, k, parts, target=target), dim)(F.struct("x", "part"))
     else:
-        cut, cut_at, order = even.withColumn("part", F.lit(0)), None, F.array(F.lit(0))
-    base, base_at = stored(cut.select("id", "x", "part", order.alias("order")), "routed")
-    visits = base.select("id", "x", F.explode("order").alias("part"))
-    # one row for each part: into how many blocks its vectors and its queries are cut
-    there, asked = base.groupBy("part").agg(F.count("*").alias("nb")), visits.groupBy("part").agg(F.count("*").alias("nq"))
-    blocks = there.join(asked, "part").select("part", F.ceil(F.col("nb") / BASE_BLOCK).cast("int").alias("nb"), F.ceil(F.col("nq") / QUERY_BLOCK).cast("int").alias("nq"))
-    blocks = spark.createDataFrame([tuple(r) for r in blocks.collect()], "part int, nb int, nq int")
+        base, order = even.withColumn("part", F.lit(0)), F.array(F.lit(0))
+    asked, at = stored(base.filter(asks).select("id", "x", order.alias("order")), "queries")
+    paths.append(at)
+    visits = asked.select("id", "x", F.explode("order").alias("part"))
+    # one row for each part that is visited: into how many blocks its vectors and its queries are cut
+    there, wanted = base.groupBy("part").agg(F.count("*").alias("nb")), visits.groupBy("part").agg(F.count("*").alias("nq"))
+    blocks = there.join(wanted, "part").select("part", F.ceil(F.col("nb") / BASE_BLOCK).cast("int").alias("nb"), F.ceil(F.col("nq") / QUERY_BLOCK).cast("int").alias("nq"))
+    blocks = F.broadcast(spark.createDataFrame([tuple(r) for r in blocks.collect()], "part int, nb int, nq int"))  # MOST_PARTS rows at most
     split = lambda by: F.sequence(F.lit(0), F.col(by) - 1)
-    left = base.select("id", "x", "part").join(F.broadcast(blocks), "part").select("id", "x", "part", F.pmod(F.xxhash64("id"), "nb").cast("int").alias("b"), F.explode(split("nq")).alias("q"), F.lit(0).alias("role"))
-    right = visits.join(F.broadcast(blocks), "part").select("id", "x", "part", F.explode(split("nb")).alias("b"), F.pmod(F.xxhash64("id", F.lit(2)), "nq").cast("int").alias("q"), F.lit(1).alias("role"))
+    left = base.select("id", "x", "part").join(blocks, "part").select("id", "x", "part", F.pmod(F.xxhash64("id"), "nb").cast("int").alias("b"), F.explode(split("nq")).alias("q"), F.lit(0).alias("role"))
+    right = visits.join(blocks, "part").select("id", "x", "part", F.explode(split("nb")).alias("b"), F.pmod(F.xxhash64("id", F.lit(2)), "nq").cast("int").alias("q"), F.lit(1).alias("role"))
     found = left.unionByName(right).groupBy("part", "b", "q").applyInArrow(_search(dim, k), "id bigint, near array<bigint>, sim array<float>")
     packed = F.transform(F.arrays_zip("near", "sim"), lambda z: F.struct((-z["sim"]).alias("far"), z["near"].alias("near")))
     merged = found.select("id", packed.alias("c")).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("c"))), 1, k).alias("c"))
-    final, _ = stored(merged.select(F.col("id").alias("vec_id"), F.col("c.near").alias("neighbours"), F.transform("c.far", lambda s: -s).alias("similarities")), "neighbours")
-    for path in (even_at, cut_at, base_at):
-        if path:
-            discard(spark, path)
-    bad = rows.filter(F.col("dim").isNull() | (F.col("dim") != dim)).select(F.col("id").alias("vec_id"), *empty)
-    lone = good.select(F.col("id").alias("vec_id")).join(final.select("vec_id"), "vec_id", "left_anti").select("vec_id", F.array().cast("array<bigint>").alias("neighbours"), F.array().cast("array<float>").alias("similarities"))
-    return final.unionByName(bad).unionByName(lone)
+    nearest = merged.select(F.col("id").alias("vec_id"), F.col("c.near").alias("neighbours"), F.transform("c.far", lambda s: -s).alias("similarities"))
+    bad = rows.filter(asks & (F.col("dim").isNull() | (F.col("dim") != dim))).select(F.col("id").alias("vec_id"), *empty)
+    none = F.array().cast("array<bigint>"), F.array().cast("array<float>")
+    good = asked.select(F.col("id").alias("vec_id")).join(nearest, "vec_id", "left").select("vec_id", *[F.coalesce(c, e).alias(c) for c, e in zip(("neighbours", "similarities"), none)])
+    final, _ = stored(good.unionByName(bad), "neighbours")
+    for path in (*paths, rows_at):
+        discard(spark, path)
+    return final
