@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch, at most, but for one row that is larger.
+BATCH_BYTES = 16 << 20
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -23,6 +26,8 @@ def attach(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join(p for p in [ROOT, *paths] if p)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -38,14 +43,25 @@ def shared_dir(spark: SparkSession) -> str:
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="tomeworks-")
+        warnings.warn(f"spark.checkpoint.dir isn't set; this local session keeps its tables in {where}", stacklevel=2)
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def app_dir(spark: SparkSession) -> str:
+    """This application's own folder within the shared one: tables that lazy results still read are left there."""
+    return f"{shared_dir(spark)}/tomeworks-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application stored. Results that haven't been written elsewhere are lost."""
+    discard(spark, app_dir(spark))
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{app_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
