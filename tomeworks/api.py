@@ -177,10 +177,10 @@ def _converted(spark, path: str, output: str | None, ending: str, pattern: str,
 
 
 def convert_word(spark: SparkSession, path: str, output: str | None = None, method="auto", replace=False) -> list[str]:
-    docx.check_method(method)
+    form = docx.FORMS[docx.check_method(method)]
     if os.path.isfile(path) and not path.lower().endswith(".docx"):
         raise ValueError(f"not a .docx file: {path}")
-    return _converted(spark, path, output, ".docx", r"(?i)\.docx$", docx.to_markdown, replace)
+    return _converted(spark, path, output, ".docx", r"(?i)\.docx$", form, replace)
 
 
 def convert_html(spark: SparkSession, path: str, output: str | None = None, method="auto", replace=False, extract_images=True, image_dir: str | None = None) -> list[str]:
@@ -208,9 +208,14 @@ def extract_report(path: str, sections: list[int] | None = None, strict=False, f
     return report.FORMATS[form](report.extract(page, sections, strict))
 
 
-def archive_and_ingest(spark: SparkSession, directory: str, output: str, base_url: str, endpoint="train", method="auto", remove=False, transport=ingest.http, split=False, split_dir: str | None = None, llm=True, max_words=chunk.INGEST_WORDS, **options) -> dict:
+def archive_and_ingest(spark: SparkSession, directory: str, output: str, base_url: str, endpoint="train", method="auto", remove=False, transport=ingest.http, test_endpoints=False, split=False, split_dir: str | None = None, llm=True, max_words=chunk.INGEST_WORDS, **options) -> dict:
     """Send a directory's files one by one if they are few and small, else as an archive or its parts."""
     filters = {k: v for k, v in options.items() if k != "extract_code_only"}
+    tried = None
+    if test_endpoints:  # with the folder's README, else its first file of a type that is taken
+        top = scan(spark, directory, **{**filters, "explicit": ["README.md"]}).unionByName(scan(spark, directory, **{**filters, "recurse": False}))
+        first = top.select(as_text(F.col("content")).alias("t")).first()
+        tried = ingest.try_endpoints(first.t, base_url, transport) if first else {}
     if method == "auto":
         method = ingest.method(scan(spark, directory, **filters))
     if method == "directory":
@@ -226,7 +231,7 @@ def archive_and_ingest(spark: SparkSession, directory: str, output: str, base_ur
     answers = ingest.sent(rows, base_url, endpoint, transport).collect()
     if remove and method == "archive":
         os.unlink(output)
-    return {"method": method, "sent": len(answers), "ok": sum(bool(r.ok) for r in answers), "errors": [r.error for r in answers if r.error]}
+    return {**({} if tried is None else {"endpoints": tried}), "method": method, "sent": len(answers), "ok": sum(bool(r.ok) for r in answers), "errors": [r.error for r in answers if r.error]}
 
 
 def generate(plan_path: str, library_path: str, output: str, day: str, model="mock") -> str:

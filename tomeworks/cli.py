@@ -8,6 +8,7 @@ import json
 import sys
 
 from tomeworks import __version__, api
+from tomeworks.functions import docx
 from tomeworks.operators import chunk, ingest, select
 
 
@@ -59,6 +60,7 @@ def build() -> argparse.ArgumentParser:
     p.add_argument("--replace_existing", action="store_true")
     p.add_argument("--kernel", default=None)
     p.add_argument("--force", action="store_true", help="unpack the form for language models, too")
+    p.add_argument("--strict-detect", action="store_true", help="tell the form by the whole text, as long tables of contents need")
     p = command("archive_subdirectories", "archive each folder below a folder")
     p.add_argument("parent_directory")
     p.add_argument("--directories", nargs="+")
@@ -74,12 +76,12 @@ def build() -> argparse.ArgumentParser:
     p = command("convert-word", "Word files to markdown")
     p.add_argument("input")
     p.add_argument("output", nargs="?")
-    p.add_argument("--method", choices=["auto", "mammoth", "pandoc", "docx", "basic"], default="auto")
+    p.add_argument("--method", choices=list(docx.METHODS), default="auto")
     p.add_argument("--replace-existing", action="store_true")
     p = command("convert-html", "HTML files to markdown")
     p.add_argument("input")
     p.add_argument("output", nargs="?")
-    p.add_argument("--method", choices=["auto", "pandoc", "regex"], default="auto")
+    p.add_argument("--method", choices=["auto", "regex"], default="auto")
     p.add_argument("--no-extract-images", action="store_true")
     p.add_argument("--image-dir")
     p.add_argument("--replace-existing", action="store_true")
@@ -140,9 +142,9 @@ def run(argv: list[str] | None = None, spark=None) -> int:
     if a.command == "archive":
         got = api.archive(spark, a.directory, a.output_file, a.llm_friendly, split=a.split_output, max_words=a.max_tokens, split_dir=a.split_output_dir, update=a.update, dry_run=a.dry_run, **_options(a))
     elif a.command == "archive-and-ingest":
-        got = api.archive_and_ingest(spark, a.directory, a.output_file, a.base_url, a.endpoint, a.ingestion_method, a.rm_archive, split=a.split_output, split_dir=a.split_output_dir, llm=a.llm_friendly, max_words=a.max_tokens, **_options(a))
+        got = api.archive_and_ingest(spark, a.directory, a.output_file, a.base_url, a.endpoint, a.ingestion_method, a.rm_archive, test_endpoints=a.test_endpoints, split=a.split_output, split_dir=a.split_output_dir, llm=a.llm_friendly, max_words=a.max_tokens, **_options(a))
     elif a.command == "unpack":
-        got = api.unpack(spark, a.archive_file, a.output_directory, a.replace_existing, a.kernel, a.force)
+        got = api.unpack(spark, a.archive_file, a.output_directory, a.replace_existing, a.kernel, a.force, a.strict_detect)
     elif a.command == "archive_subdirectories":
         got = api.archive_subdirectories(spark, a.parent_directory, a.directories, a.combined_archive_dir, a.combined_archive_name, a.file_types)
     elif a.command in ("extract-notebooks", "extract-notebooks-and-quarto"):

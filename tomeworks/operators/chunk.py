@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,42 +17,64 @@ MAX_WORDS = 10_000
 ARCHIVE_WORDS, INGEST_WORDS = 100_000, 75_000
 
 
+#: What an open part is: its number, the words in it, and whether it holds something.
+State = tuple[int, int, bool]
+
+
 def next_fit(sizes: np.ndarray, most: int, head: int = 0, blank_starts: bool = True) -> np.ndarray:
     """Part, from 1, of each item in order: a part is closed when the next item doesn't fit and it holds something.
 
     `head` words open part 1. Without blank_starts, an item of no words doesn't count as something.
     """
+    return resumed(sizes, most, (1, int(head), head > 0), blank_starts)[0]
+
+
+def resumed(sizes: np.ndarray, most: int, state: State, blank_starts: bool = True) -> tuple[np.ndarray, State]:
+    """next_fit() from an open part on: (parts, the part that is open afterwards)."""
     total = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     out = np.empty(len(sizes), np.int64)
-    at, part, base = 0, 1, -int(head)
-    held = head > 0
+    part, size, held = state
+    at, base = 0, -size
     while at < len(sizes):
+        begin = at
         if not held:  # the first item goes in whatever its size; blank ones too, until there is something
-            begin = at
             at += 1
             while not blank_starts and at < len(sizes) and total[at] == total[begin]:
                 at += 1
-        else:
-            begin = at
         end = max(at, int(np.searchsorted(total, base + most, "right")) - 1)
         out[begin:end] = part
         at = end
-        part, base, held = part + 1, int(total[at]), False
-    return out
+        if at < len(sizes):
+            part, base, held = part + 1, int(total[at]), False
+    size = int(total[-1] - base)
+    return out, (part, size, blank_starts and (held or len(sizes) > 0) or size > 0)
 
 
 def _parts(most: int, blank_starts: bool):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("pos")
-        head = int(table["head"][0].as_py())
-        return pa.table({"archive_id": table["archive_id"], "pos": table["pos"], "part": next_fit(table["words"].to_numpy(), most, head, blank_starts)})
+    """Parts of rows sorted by archive and position; an archive may go on in the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: tuple[str, State] | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names, words, heads = b["archive_id"].to_pylist(), b["words"].to_numpy(), b["head"].to_numpy()
+            code = b["archive_id"].dictionary_encode().indices.fill_null(-1).to_numpy()
+            begins = np.flatnonzero(np.append(True, code[1:] != code[:-1])).tolist()
+            out = np.empty(b.num_rows, np.int64)
+            for s, e in zip(begins, [*begins[1:], b.num_rows]):
+                state = open_[1] if open_ and open_[0] == names[s] else (1, int(heads[s]), heads[s] > 0)
+                out[s:e], state = resumed(words[s:e], most, state, blank_starts)
+                open_ = (names[s], state)
+            yield pa.RecordBatch.from_arrays([b["archive_id"], b["pos"], pa.array(out)], names=["archive_id", "pos", "part"])
 
     return run
 
 
 def assign(rows: DataFrame, most: int, blank_starts: bool = False) -> DataFrame:
-    """(archive_id, pos, part) of (archive_id, pos, words, head): numbers alone are shuffled, one group for each archive."""
-    return rows.select("archive_id", F.col("pos").cast("bigint").alias("pos"), F.col("words").cast("bigint").alias("words"), F.col("head").cast("bigint").alias("head")).groupBy("archive_id").applyInArrow(_parts(most, blank_starts), "archive_id string, pos bigint, part bigint")
+    """(archive_id, pos, part) of (archive_id, pos, words, head): numbers alone are shuffled, and an archive's are read once, in order."""
+    flat = rows.select(F.col("archive_id").cast("string").alias("archive_id"), *[F.col(c).cast("bigint").alias(c) for c in ("pos", "words", "head")])
+    return flat.repartition("archive_id").sortWithinPartitions("archive_id", "pos").mapInArrow(_parts(most, blank_starts), "archive_id string, pos bigint, part bigint")
 
 
 def split(archives: DataFrame, most: int = MAX_WORDS) -> DataFrame:

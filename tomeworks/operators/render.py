@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from tomeworks.functions import cells, html, images
 from tomeworks.functions.text import as_text, estimated_tokens, words
 from tomeworks.operators import select
+from tomeworks.session import stored
 
 RULE = "#" * 80
 STANDARD = "---\nFilename: "
@@ -28,19 +29,33 @@ def converted(files: DataFrame, extract_code_only: bool = False) -> DataFrame:
     path = F.col("rel_path")
     ext = F.when(F.col("root") if "root" in files.columns else F.lit(False), "").otherwise(select.extension(path))
     read = files.select("rel_path", as_text(F.col("content")).alias("text"), ext.alias("ext"))
-    body = F.when(F.col("ext") == _PAGES, html.without_boilerplate(F.col("text")))
-    read = read.withColumn("body", body).withColumn("noted", images.with_placeholders(F.when(F.col("body").rlike("(?i)data:image"), F.col("body"))))
+    # pages pass through the UDF whether they hold images or not, so their text is stripped once
+    read = read.withColumn("noted", images.with_placeholders(F.when(F.col("ext") == _PAGES, html.without_boilerplate(F.col("text")))))
     of = lambda when: F.when(when, F.col("text"))
     notebook, quarto = F.col("ext") == _NOTEBOOKS, F.col("ext").rlike(_QUARTO)
-    out = F.when(notebook, (cells.from_notebook if extract_code_only else cells.strip_outputs)(of(notebook))).when(F.col("ext") == _PAGES, html.markdown(F.coalesce("noted", "body")))
+    out = F.when(notebook, (cells.from_notebook if extract_code_only else cells.strip_outputs)(of(notebook))).when(F.col("ext") == _PAGES, html.markdown(F.col("noted")))
     if extract_code_only:
         out = out.when(quarto, cells.from_quarto(of(quarto)))
     return read.select("rel_path", out.otherwise(F.col("text")).alias("content")).filter("content IS NOT NULL")
 
 
 def numbered(files: DataFrame, archive: str = "archive_id") -> DataFrame:
-    """Rows with `pos`, from 1 in the order of rel_path within each archive."""
-    return files.withColumn("pos", F.row_number().over(Window.partitionBy(archive).orderBy("rel_path")))
+    """Rows with `pos`, from 1 in the order of rel_path within each archive; paths that repeat have numbers one after the other.
+
+    Only (archive, path) is put in order, by ranges, so neither contents nor an archive's paths meet in one task; numbers are joined back.
+    """
+    spark = files.sparkSession
+    keys = files.groupBy(archive, "rel_path").agg(F.count("*").alias("many_"))
+    ranged, _ = stored(keys.repartitionByRange(archive, "rel_path").withColumn("range_", F.spark_partition_id()), "paths")
+    sizes = ranged.groupBy(archive, "range_").agg(F.sum("many_").alias("size_"))
+    before = sizes.withColumn("before_", F.coalesce(F.sum("size_").over(Window.partitionBy(archive).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size_")
+    inside = F.sum("many_").over(Window.partitionBy(archive, "range_").orderBy("rel_path").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = ranged.withColumn("last_", inside).join(before, [archive, "range_"]).select(F.col(archive).alias("a_"), F.col("rel_path").alias("p_"), "many_", (F.col("last_") + F.col("before_")).cast("int").alias("pos"))
+    joined = files.join(placed, files[archive].eqNullSafe(F.col("a_")) & files["rel_path"].eqNullSafe(F.col("p_"))).drop("a_", "p_")
+    if not ranged.filter("many_ > 1").limit(1).count():
+        return joined.drop("many_")
+    again = F.col("pos") + 1 - F.row_number().over(Window.partitionBy(archive, "rel_path").orderBy(F.lit(0)))
+    return joined.filter("many_ = 1").unionByName(joined.filter("many_ > 1").withColumn("pos", again.cast("int"))).drop("many_")
 
 
 def escape(content: Column) -> Column:

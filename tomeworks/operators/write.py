@@ -80,11 +80,11 @@ def undated(content: bytes) -> bytes:
 
 
 def remove_stale(folder: str, stem: str, ext: str, keep: list[str]) -> list[str]:
-    """Delete parts of an archive that weren't written now; the archive itself is never one of them."""
+    """Delete parts of an archive that weren't written now, and a part without number that others took the place of; what is to keep never is one."""
     gone = []
     for name in sorted(os.listdir(folder)):
         path = os.path.join(folder, name)
-        if re.fullmatch(re.escape(stem) + r"_part\d+" + re.escape(ext), name) and os.path.abspath(path) not in {os.path.abspath(k) for k in keep}:
+        if re.fullmatch(re.escape(stem) + r"(?:_part\d+)?" + re.escape(ext), name) and os.path.abspath(path) not in {os.path.abspath(k) for k in keep}:
             os.unlink(path)
             gone.append(path)
     return gone

@@ -110,6 +110,56 @@ _BLOCK = f"cell || chr(10) || {_Q} || chr(10) || src || CASE WHEN src LIKE '%' |
 _LLM_PIECE = "regexp_replace(content || chr(10) || chr(10), '^\\n+', '')"
 
 
+_N = "chr(10)"
+_SHOWN = f"{_CELLS}, shown AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY cell) AS BIGINT) AS n FROM cells WHERE regexp_matches(src, '{_WORD}'))"
+_CODE = f"'```{{r}}' || {_N} || src || {_N} || '```'"
+#: Code by itself, all that stands between code as one block.
+_BLOCKS = f"""{_SHOWN}, marked AS (SELECT *, count(*) FILTER (kind = 'code') OVER (PARTITION BY conv_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS before FROM shown),
+      blocks AS (SELECT conv_id, kind = 'code' AS code, before, string_agg(src, {_N} || {_N} ORDER BY n) AS src, min(n) AS first FROM marked GROUP BY conv_id, kind = 'code', before),
+      counted AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY first) AS k FROM blocks)"""
+_LINKS = "list_transform(regexp_extract_all(html, '<li>(.*?)</li>', 1), lambda x: replace(replace(replace(trim(regexp_replace(x, '<[^>]+>', '', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"
+_L = f"l AS (SELECT page_id, url, CAST(page_id AS VARCHAR) AS p, {_LINKS} AS links FROM pages)"
+_DATE = "'2024-01-0' || (page_id % 9 + 1)"
+
+
+def _items(expr: str, sep: str = "'|'", of: str = "links") -> str:
+    return f"array_to_string(list_transform({of}, lambda x, i: {expr}), {sep})"
+
+
+def _split_archives() -> str:
+    head = f"{_HEAD[True]} || {_TOC}"
+    items = f"{_FILES}, {_NUM}, items AS (SELECT archive_id, CAST(pos AS BIGINT) AS pos, {_words(_SECTION[True])} AS words, length({_SECTION[True]}) AS chars FROM num UNION ALL SELECT archive_id, 0, {_words('head')}, length(head) FROM (SELECT archive_id, {head} AS head FROM num GROUP BY archive_id))"
+    return f"""{_fold(items, CHUNK_WORDS, 0, False)}, total AS (SELECT archive_id, sum(words) AS all_words FROM items GROUP BY ALL)
+      SELECT f.archive_id, CASE WHEN all_words <= {CHUNK_WORDS} THEN CAST(0 AS BIGINT) ELSE CAST(f.part AS BIGINT) END AS part, CASE WHEN all_words <= {CHUNK_WORDS} THEN f.archive_id ELSE f.archive_id || '_part' || f.part END AS name, CAST(sum(i.words) AS BIGINT) AS words, CAST(sum(i.chars) AS BIGINT) AS chars
+      FROM f JOIN items i ON f.archive_id = i.archive_id AND f.pos = i.pos JOIN total t ON t.archive_id = f.archive_id GROUP BY ALL"""
+
+
+def _more() -> dict[str, str]:
+    """SQL of notebooks, reports, Word files and trees."""
+    line = lambda c: f"'- **{c}:** '"
+    name = "'nb_' || lpad(CAST(conv_id AS VARCHAR), 10, '0') ||"
+    turns = "t AS (SELECT conv_id, turn, role, regexp_replace(text, '\\s+', ' ', 'g') AS flat FROM conversations)"
+    texts = f"string_agg(flat, {_N} ORDER BY turn, role, flat)"
+    return {
+        "split_archives": _split_archives(),
+        "notebook_rebuild": f"WITH {_SHOWN} SELECT conv_id, count(*) FILTER (kind = 'code') AS code, count(*) FILTER (kind = 'markdown') AS markdown, count(*) FILTER (kind = 'raw') AS raw, CASE WHEN bool_or(regexp_matches(src, '\\b(library\\(|pacman::p_load\\(|tar_load\\(|tidyverse\\b|tidymodels\\b)')) THEN 'ir' ELSE 'python3' END AS kernel FROM shown GROUP BY conv_id",
+        "quarto_round_trip": f"WITH {_BLOCKS} SELECT conv_id, true AS stable, CAST(sum(CASE WHEN code THEN length('# Cell ' || k) + 1 + length(src) + 2 ELSE length('# Markdown Cell ' || k) + 5 + length(src) + 6 END) AS BIGINT) AS chars FROM counted GROUP BY conv_id",
+        "databricks_sources": f"WITH {_SHOWN} SELECT conv_id, concat('# Databricks notebook source' || {_N}, string_agg(CASE kind WHEN 'code' THEN src ELSE '# MAGIC %md' || {_N} || '# MAGIC ' || replace(src, {_N}, {_N} || '# MAGIC ') END, {_N} || {_N} || '# COMMAND ----------' || {_N} || {_N} ORDER BY n) FILTER (kind <> 'raw')) AS source FROM shown GROUP BY conv_id",
+        "stripped_notebooks": f"WITH {_CELLS} SELECT conv_id, 2 * count(*) AS before, 2 * count(*) FILTER (kind <> 'code') AS after, string_agg(kind || ' ' || src, '|' ORDER BY cell) AS cells FROM cells GROUP BY conv_id",
+        "extracted_notebooks": f"WITH {_SHOWN} SELECT {name} '.ipynb' AS rel_path, n AS cell, kind, src || {_N} AS src FROM shown",
+        "extracted_quarto": f"WITH {_SHOWN} SELECT CAST(conv_id % 7 AS VARCHAR) AS archive_id, {name} '.qmd' AS rel_path, string_agg(CASE kind WHEN 'code' THEN {_CODE} ELSE src END, {_N} || {_N} ORDER BY n) || {_N} AS content FROM shown GROUP BY conv_id",
+        "restored_files": f"WITH {_SHOWN} SELECT CAST(conv_id % 7 AS VARCHAR) AS archive_id, {name} '.ipynb' AS rel_path, count(*) AS cells FROM shown GROUP BY conv_id",
+        "word_text": f"WITH {turns} SELECT conv_id, 'Conversation ' || conv_id || {_N} || 'Turns' || {_N} || {texts} || {_N} || 'turn' || {_N} || 'role' || {_N} || string_agg(turn || {_N} || role, {_N} ORDER BY turn, role, flat) AS text FROM t GROUP BY conv_id",
+        "word_markdown": f"WITH {turns} SELECT conv_id, '# Conversation ' || conv_id || {_N} || '## Turns' || {_N} || {texts} || {_N} || {_N} || '| turn | role |' || {_N} || '| --- | --- |' || {_N} || string_agg('| ' || turn || ' | ' || role || ' |', {_N} ORDER BY turn, role, flat) || {_N} AS markdown FROM t GROUP BY conv_id",
+        "tree_scan": f"WITH {_FILES} SELECT rel_path, CAST(octet_length(encode(content)) AS BIGINT) AS size, md5(content) AS md5, false AS root FROM files WHERE NOT regexp_matches(rel_path, '[89]\\.md$') AND rel_path NOT LIKE '%/fr/%'",
+        "report_sections": f"WITH {_L} SELECT page_id, url AS title, 'A. Uthor' AS author, {_DATE} AS date, '0,1,2,3,4,5,6,7,8,9,10,11' AS found, 'Results at a glance' || CASE WHEN len(links) > 0 THEN '|Links' ELSE '' END AS tables, CASE WHEN len(links) > 0 THEN {_items("(i - 1) || ' ' || x")} END AS rows, {_items("'Section 7: Figures f' || (i - 1) || '.png ' || x")} AS figures FROM l",
+        "report_contents": f"WITH {_L} SELECT page_id, page_id AS meta_page, 'page' AS meta_kind, page_id AS glance_page, CAST(len(links) AS BIGINT) AS glance_links, 'At a glance.' AS glance_text, url || {_N} || {_N} || 'Second.' AS methods, 'Inner.' AS inner_text, 'inside' AS inner_item, page_id AS card_page, 'page' AS card_kind, url AS manuscript, {_items('x', of="list_filter(links, lambda x: x <> '')")} AS limitations, true AS named FROM l",
+        "report_formats": f"""WITH {_L}, k AS (SELECT *, list_filter(links, lambda x: x <> '')[:10] AS ten FROM l) SELECT page_id, concat_ws({_N}, '# ' || url, '**Author:** A. Uthor', '**Date:** ' || {_DATE}, '', '## Metadata', {line('page')} || p, {line('kind')} || 'page', '',
+          '## Results at a Glance', '', '| Metric | Value |', '|--------|-------|', '| page | ' || p || ' |', '| links | ' || len(links) || ' |', '', '## Model Card', {line('Page')} || p, {line('Kind')} || 'page', '', '## Manuscript Results', url, '')
+          || CASE WHEN len(ten) > 0 THEN {_N} || concat_ws({_N}, '## Limitations', {_items("'- ' || x", _N, 'ten')}, '') ELSE '' END || CASE WHEN len(links) > 0 THEN {_N} || concat_ws({_N}, '## Figures (' || len(links) || ' total)', {_items("'- [Section 7: Figures] ' || CASE WHEN x = '' THEN 'a' ELSE x END", _N)}, '') ELSE '' END AS markdown FROM k""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     n14 = "CAST(page_id % 14 AS INT)"
     by_number = f"CASE WHEN {n14} <= 11 THEN {n14} ELSE 1 END"
@@ -148,8 +198,8 @@ def oracle_sql() -> dict[str, str]:
         "notebook_cells": f"WITH {_CELLS} SELECT conv_id, cell, kind, src FROM cells",
         "cells_render": f"WITH {_CELLS} SELECT conv_id, coalesce(string_agg(CASE kind WHEN 'code' THEN '# Cell ' || cell || chr(10) || src || chr(10) || chr(10) WHEN 'markdown' THEN '# Markdown Cell ' || {_BLOCK} ELSE '# Raw Cell ' || {_BLOCK} END, '' ORDER BY cell) FILTER (regexp_matches(src, '{_WORD}')), '') AS text FROM cells GROUP BY conv_id",
         "cell_markers": "SELECT conv_id, turn, turn % 2 = 0 OR regexp_matches(text, '(?m)^# (?:Raw |Markdown )?Cell \\d+\\s*$') AS markers, role = 'user' OR contains('# MAGIC' || text, '# MAGIC %') OR contains('# MAGIC' || text, '# MAGIC #') OR contains(text, '# Databricks notebook source') AS databricks FROM conversations",
-        "report_sections": "SELECT page_id, url AS title, CAST(page_id % 12 AS INT) AS section, 0 AS figures FROM pages",
         "report_section_numbers": f"SELECT page_id, {by_number} AS by_text, {by_number} AS by_id, CASE WHEN page_id % 2 = 0 THEN 4 END AS by_words FROM pages",
         "ingest_responses": "SELECT conv_id, turn, CASE WHEN turn = 0 THEN false ELSE turn = 1 OR role <> 'user' END AS ok FROM conversations",
+        **_more(),
         "converted_pages": f"WITH b AS (SELECT page_id, {_body()} AS body FROM pages) SELECT 'page_' || lpad(CAST(page_id AS VARCHAR), 10, '0') || '.html' AS rel_path, {_markdown()} AS markdown FROM b",
     }

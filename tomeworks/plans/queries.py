@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeworks.functions import cells, html, images, report
+from tomeworks.functions import cells, docx, html, images, report
 from tomeworks.functions.text import estimated_tokens, lines, words
-from tomeworks.operators import chunk, incremental, ingest, parse, render, select
-from tomeworks.session import attach
+from tomeworks.operators import chunk, incremental, ingest, parse, render, select, write
+from tomeworks.session import app_dir, attach
+from tomeworks.sources import tree
 
 STAMP = "2024-01-01 00:00:00"
 CHUNK_WORDS, LINE_WORDS = 2_000, 200
@@ -255,12 +256,62 @@ def databricks_sources(spark, sf_dir):
     return notebooks(spark, sf_dir).select("conv_id", cells.to_databricks(text).alias("source"))
 
 
+def _links(html: Column) -> Column:
+    """Texts of a page's list items."""
+    return F.transform(F.regexp_extract_all(html, F.lit(r"<li>(.*?)</li>"), 1), lambda x: F.trim(F.regexp_replace(x, "<[^>]+>", "")))
+
+
+def _reports(spark, sf_dir) -> DataFrame:
+    """(page_id, url, made): a report of twelve sections for each page, with the page's links in its tables, lists, model card and figures, and the page in whole as its last."""
+    each = lambda links, f: F.array_join(F.transform(links, f), "")
+    section = lambda n, name, body: F.concat(F.lit(f'<section id="s{n}" class="level1"><h1>Section {n}: {name}</h1>'), body, F.lit("</section>"))
+    rows = lambda links: each(links, lambda x, i: F.concat(F.lit("<tr><td>"), i.cast("string"), F.lit("</td><td>"), x, F.lit("</td></tr>")))
+    links, url, n = _links(F.col("html")), F.col("url"), F.col("page_id").cast("string")
+    glance = F.concat(F.lit('<table class="gt_table"><thead><tr><td class="gt_title">Results at a glance</td></tr><tr class="gt_col_headings"><th id="metric">Metric</th><th id="value">Value</th></tr></thead><tbody class="gt_table_body"><tr><td headers="metric">page</td><td headers="value">'), n, F.lit('</td></tr><tr><td headers="metric">links</td><td headers="value">'), F.size(links).cast("string"), F.lit("</td></tr></tbody></table>"))
+    bodies = [
+        ("Metadata", F.concat(F.lit('<pre class="sourceCode yaml"><code>page: '), n, F.lit("\nkind: page\n</code></pre>"))),
+        ("Results", F.concat(glance, F.lit("<p>At a glance.</p>"))),
+        ("Data", F.concat(F.lit("<table><caption>Links</caption><thead><tr><th>n</th><th>link</th></tr></thead><tbody>"), rows(links), F.lit("</tbody></table>"))),
+        ("Methods", F.concat(F.lit("<p>"), url, F.lit("</p><p> Second. </p>"))),
+        ("Design", F.lit("<section><h2>Part</h2><p>Inner.</p><ul><li>inside</li></ul></section>")),
+        ("Evaluation", F.lit("<p></p>")),
+        ("Final", F.concat(F.lit("<section><h2>Model card</h2><ul><li><strong>Page:</strong> "), n, F.lit("</li><li><strong>Kind</strong>: page</li><li>no label</li></ul></section>"))),
+        ("Figures", each(links, lambda x, i: F.concat(F.lit('<figure><img src="f'), i.cast("string"), F.lit('.png" alt="a"><figcaption>'), x, F.lit("</figcaption></figure>")))),
+        ("Manuscript", F.concat(F.lit("<p>"), url, F.lit("</p>"))),
+        ("Limitations", F.concat(F.lit("<ul>"), each(links, lambda x: F.concat(F.lit("<li>"), x, F.lit("</li>"))), F.lit("</ul>"))),
+        ("Next", F.lit("<ol><li>one</li><li>two</li></ol>")),
+        ("Appendix", F.lit("<p>End.</p>")),
+    ]
+    head = F.concat(F.lit('<html><head><title>'), url, F.lit('</title><meta name="author" content="A. Uthor"><meta name="date" content="2024-01-0'), (F.col("page_id") % 9 + 1).cast("string"), F.lit('"></head><body><main id="quarto-document-content">'))
+    made = F.concat(head, *[section(k, name, body) for k, (name, body) in enumerate(bodies)], F.lit("</main></body></html>"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", made.alias("made"))
+
+
 def report_sections(spark, sf_dir):
-    """Reports made of the pages, one section each; what the extractor finds."""
-    n = (F.col("page_id") % 12).cast("string")
-    made = F.concat(F.lit("<html><head><title>"), F.col("url"), F.lit('</title></head><body><main><section class="level1" id="s"><h1>Section '), n, F.lit("</h1><p>"), F.col("url"), F.lit("</p></section></main>"))
-    got = table(spark, sf_dir, "pages").select("page_id", report.report(made).alias("r"))
-    return got.select("page_id", F.col("r.title").alias("title"), F.col("r.sections_found")[0].alias("section"), F.size("r.figures").alias("figures"))
+    """What the extractor finds in reports of twelve sections: title, author, date, sections, tables and figures."""
+    got = _reports(spark, sf_dir).select("page_id", report.report("made").alias("r"))
+    r = lambda f: F.col("r." + f)
+    return got.select(
+        "page_id", r("title").alias("title"), r("author").alias("author"), r("date").alias("date"), F.array_join(r("sections_found").cast("array<string>"), ",").alias("found"),
+        F.array_join(F.transform(r("tables"), lambda t: F.coalesce(t["title"], F.lit(""))), "|").alias("tables"), F.array_join(F.transform(F.get(r("tables"), F.lit(1))["rows"], lambda x: F.concat(x["n"], F.lit(" "), x["link"])), "|").alias("rows"),
+        F.array_join(F.transform(r("figures"), lambda f: F.concat(f["section"], F.lit(" "), f["src"], F.lit(" "), f["caption"])), "|").alias("figures"),
+    )
+
+
+def report_contents(spark, sf_dir):
+    """What single sections hold: metadata, results at a glance, model card, texts, lists and subsections."""
+    got = _reports(spark, sf_dir).select("page_id", report.report("made")["sections"].alias("s"))
+    at = lambda n, path: F.get_json_object(F.col("s")[n], path)
+    return got.select(
+        "page_id", at(0, "$.metadata.page").cast("bigint").alias("meta_page"), at(0, "$.metadata.kind").alias("meta_kind"), at(1, "$.results_at_a_glance.page").cast("bigint").alias("glance_page"),
+        at(1, "$.results_at_a_glance.links").cast("bigint").alias("glance_links"), at(1, "$.text").alias("glance_text"), at(3, "$.text").alias("methods"), at(4, "$.subsections.Part.text").alias("inner_text"), at(4, "$.subsections.Part.list_items[0]").alias("inner_item"),
+        at(6, "$.model_card.Page").cast("bigint").alias("card_page"), at(6, "$.model_card.Kind").alias("card_kind"), at(8, "$.text").alias("manuscript"), F.array_join(F.from_json(at(9, "$.list_items"), "array<string>"), "|").alias("limitations"), at(11, "$.section_name").isNotNull().alias("named"),
+    )
+
+
+def report_formats(spark, sf_dir):
+    """The reports' gist as markdown."""
+    return _reports(spark, sf_dir).select("page_id", report.report_text("made", F.lit("markdown")).alias("markdown"))
 
 
 def report_section_numbers(spark, sf_dir):
@@ -281,11 +332,88 @@ def converted_pages(spark, sf_dir):
     return render.converted(pages).select("rel_path", F.col("content").alias("markdown"))
 
 
+def stripped_notebooks(spark, sf_dir):
+    """Notebooks with outputs in their code cells, without them: how many outputs there were and are, and all sources."""
+    shape = "cells array<struct<cell_type string, source array<string>, outputs array<string>>>, nbformat int"
+    made = notebooks(spark, sf_dir).withColumn("nb", F.from_json("content", shape))
+    full = F.to_json(F.struct(F.transform("nb.cells", lambda c: F.struct(c["cell_type"], c["source"], F.array(F.lit("out"), F.lit("err")).alias("outputs"))).alias("cells"), F.lit(4).alias("nbformat")))
+    outputs = lambda c: F.aggregate(F.from_json(c, shape)["cells"], F.lit(0), lambda n, x: n + F.size(x["outputs"])).cast("bigint")
+    done = made.select("conv_id", full.alias("full")).select("conv_id", "full", cells.strip_outputs("full").alias("bare"))
+    return done.select("conv_id", outputs("full").alias("before"), outputs("bare").alias("after"), F.array_join(F.transform(cells.read_cells(F.col("bare")), lambda c: F.concat(c["kind"], F.lit(" "), c["src"])), "|").alias("cells"))
+
+
+def _notebook_archives(spark, sf_dir, ending: str) -> DataFrame:
+    """(archive_id, text): archives for language models of notebooks in cell form, seven in all."""
+    rows = notebooks(spark, sf_dir).select((F.col("conv_id") % 7).cast("string").alias("archive_id"), F.concat(F.lit("nb_"), padded(F.col("conv_id")), F.lit(ending)).alias("rel_path"), cells.render_cells(cells.read_cells(F.col("content"))).alias("content"))
+    return render.archives(rows, True, STAMP).select("archive_id", "text")
+
+
+def extracted_notebooks(spark, sf_dir):
+    """Cells of the notebooks that are taken out of archives."""
+    found = parse.notebooks(parse.sections(_notebook_archives(spark, sf_dir, ".ipynb")))
+    rows = found.select("rel_path", F.posexplode(cells.read_cells(F.col("content"))).alias("i", "c"))
+    return rows.select("rel_path", (F.col("i") + 1).cast("bigint").alias("cell"), F.col("c.kind").alias("kind"), F.col("c.src").alias("src"))
+
+
+def extracted_quarto(spark, sf_dir):
+    """Quarto documents that are taken out of archives, from cell form."""
+    return parse.notebooks(parse.sections(_notebook_archives(spark, sf_dir, ".qmd")), quarto=True).select("archive_id", "rel_path", "content")
+
+
+def restored_files(spark, sf_dir):
+    """Notebooks that are put together when an archive for language models is unpacked: cells of each."""
+    found = parse.restored(parse.sections(_notebook_archives(spark, sf_dir, ".ipynb")))
+    return found.select("archive_id", "rel_path", F.size(cells.read_cells(F.col("content"))).cast("bigint").alias("cells"))
+
+
+def _word_files(spark, sf_dir) -> DataFrame:
+    """(conv_id, content): a Word file for each conversation, with a heading, a paragraph for each turn, and a table of their roles."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    from tomeworks.functions.arrow import make
+
+    def built(title: str, turns: list) -> bytes:
+        p = lambda text, style="": f"<w:p>{f'<w:pPr><w:pStyle w:val={chr(34)}{style}{chr(34)}/></w:pPr>' if style else ''}<w:r><w:t>{escape(text)}</w:t></w:r></w:p>"
+        cell = lambda text: f"<w:tc>{p(text)}</w:tc>"
+        rows = [("turn", "role"), *((str(t["turn"]), t["role"]) for t in turns)]
+        body = p(title, "Heading1") + p("Turns", "Heading2") + "".join(p(t["text"]) for t in turns) + "<w:tbl>" + "".join(f"<w:tr>{cell(a)}{cell(b)}</w:tr>" for a, b in rows) + "</w:tbl>"
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+        return out.getvalue()
+
+    flat = F.regexp_replace("text", r"\s+", " ")
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", flat.alias("text")))).alias("t"))
+    return turns.select("conv_id", make(built, "binary")(F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")), F.col("t")).alias("content"))
+
+
+def word_text(spark, sf_dir):
+    """Paragraphs of Word files, those in tables included."""
+    return _word_files(spark, sf_dir).select("conv_id", docx.to_text("content").alias("text"))
+
+
+def word_markdown(spark, sf_dir):
+    """Word files as markdown, with headings and tables."""
+    return _word_files(spark, sf_dir).select("conv_id", docx.to_markdown("content").alias("markdown"))
+
+
+def tree_scan(spark, sf_dir):
+    """Documents written as files, and read again from their folder without French ones; one that is hidden and one of another type are ruled out."""
+    folder = f"{app_dir(spark)}/tree"
+    f = files(spark, sf_dir)
+    hidden = F.regexp_replace("rel_path", r"doc_(\d+9)\.md$", ".doc_$1.md")
+    write.write(f.select(F.regexp_replace(hidden, r"8\.md$", "8.txt").alias("rel_path"), "content"), folder, "replace")
+    return tree.scan(spark, folder, file_types=[".md"], exclude=["fr"]).select("rel_path", "size", F.md5("content").alias("md5"), "root")
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     archive_manifest, dry_run_summary, selected_files, selection, files_without_roots, render_standard, render_llm, archives_standard, archives_llm, concatenated_archives, table_of_contents,
     unpack_standard, unpack_llm, parsed_sections, archive_roundtrip, detect_format, combined_archives, unpack_combined, word_counts, chunk_assignments, chunk_summary, line_chunks, split_archives,
     content_keys, changed_archives, stale_parts, html_strip, html_markdown, html_tables, html_entities, image_placeholders, notebook_cells, cells_render, cell_markers, notebook_rebuild,
-    quarto_round_trip, databricks_sources, report_sections, report_section_numbers, ingest_responses, converted_pages,
+    quarto_round_trip, databricks_sources, report_sections, report_contents, report_formats, report_section_numbers, ingest_responses, converted_pages,
+    stripped_notebooks, extracted_notebooks, extracted_quarto, restored_files, word_text, word_markdown, tree_scan,
 )
 
 
