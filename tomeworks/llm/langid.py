@@ -24,10 +24,10 @@ from tomeworks.session import discard, stored
 SAMPLE_ROWS = 300
 #: Bytes of a dictionary, at most; each language has as many as its sample fills.
 DICT_BYTES = 112_000
+#: Labels that are told, those with the most rows, at most; so the chosen ids are bounded, and may be sent to all tasks.
+LANGUAGES = 256
 #: A label with fewer bytes of sample is no language to be told, unless none has that many.
 MIN_BYTES = 4096
-#: Labels with so little text that are told, the longest first, where none has MIN_BYTES.
-FEW = 256
 BLOCK = 2048
 #: Effort, and shortest match if one is set; the second is for texts whose margin is under RECHECK.
 EFFORT, MORE_EFFORT = (6, None), (12, 3)
@@ -41,14 +41,15 @@ FIELDS = ["lang_pred", "margin", "accepted"]
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", rows=SAMPLE_ROWS, dict_bytes=DICT_BYTES) -> dict[str, bytes]:
     """Dictionaries from at most `rows` labelled rows a language, those whose id hashes lowest.
 
-    Rows without a label, text or id don't count, nor do rows that repeat an id and label, but for the first of their texts in
+    At most LANGUAGES labels count. Rows without a label, text or id don't count, nor do rows that repeat an id and label, but for the first of their texts in
     order. Ids are chosen first, over id and label alone; of the chosen texts no more leaves the scan than a dictionary holds, each
-    language's is made in a task of its own, and the driver gets dictionaries alone, those below MIN_BYTES only if there is no other.
+    language's is made in a task of its own, and the driver gets dictionaries alone.
     """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     all_ = docs.select(col(docs, id_col).alias("id"), col(docs, lang_col).cast("string").alias("lang"), col(docs, text_col).alias("text")).filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    chosen = all_.select("id", "lang").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).select("id", "lang")
-    texts = all_.withColumn("text", F.substring("text", 1, dict_bytes)).join(chosen, ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text"))
+    told_ = all_.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    chosen = all_.select("id", "lang").join(F.broadcast(told_), "lang", "left_semi").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).select("id", "lang")
+    texts = all_.withColumn("text", F.substring("text", 1, dict_bytes)).join(F.broadcast(chosen), ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text"))
 
     def make(table: pa.Table) -> pa.Table:
         sample = sorted({(hash_of(t), t) for t in table["text"].to_pylist()})
@@ -56,7 +57,7 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", rows
 
     made, at = stored(texts.groupBy("lang").applyInArrow(make, "lang string, raw binary"), "dictionaries")
     big = made.filter(F.length("raw") >= min(MIN_BYTES, dict_bytes))
-    raw = {r.lang: bytes(r.raw) for r in (big.collect() or made.orderBy(F.desc(F.length("raw")), "lang").limit(FEW).collect())}
+    raw = {r.lang: bytes(r.raw) for r in (big.collect() or made.collect())}
     discard(docs.sparkSession, at)
     return told(raw, dict_bytes)
 
