@@ -426,6 +426,35 @@ def test_toxicity_fit_with_repeated_rows(spark):
     assert (once.weights, once.bias, once.key) == (model.weights, model.bias, model.key)
 
 
+def test_toxicity_fit_counts_all_labelled_rows(spark):
+    """A word of those toxic documents alone whose ids hash highest counts."""
+    order = [r.id for r in spark.range(1, 8201).orderBy(F.xxhash64("id"), "id").collect()]
+    bad, good = [i for i in order if i % 2], [i for i in order if not i % 2]
+    text = {i: "you are there" for i in good} | {i: "you idiot there" if k < 4000 else "you scumbag there" for k, i in enumerate(bad)}
+    docs = spark.createDataFrame(list(text.items()), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in text], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert all(model.score(t, {})[0] > 0 for t in ("you scumbag", "you idiot")) and model.score("you are there", {})[0] < 0
+
+
+def test_toxicity_sets_in_tasks(spark):
+    """Derivatives and the cut of a table too large for the driver are those of one that isn't; documents one by one give the same."""
+    rnd = np.random.default_rng(5)
+    sets = sorted({np.sort(rnd.choice(9, rnd.integers(0, 5), replace=False)).astype(np.int32).tobytes() for _ in range(80)})
+    other, toxic = rnd.integers(0, 4, len(sets)), rnd.integers(0, 4, len(sets))
+    neg, pos, w = int(other.sum()), int(toxic.sum()), rnd.random(9)
+    df = spark.createDataFrame([(bytearray(s), int(o), int(t)) for s, o, t in zip(sets, other, toxic)], "s binary, other bigint, toxic bigint").repartition(3)
+    here, spread = toxicity.Sets(df.toArrow().sort_by("s"), neg, pos), toxicity.SpreadSets(df, neg, pos)
+    assert np.allclose(here.slope(w, -1.0), spread.slope(w, -1.0)) and math.isclose(here.cut(w, -1.0), spread.cut(w, -1.0))
+    rows = [(np.frombuffer(s, np.int32), y) for s, o, t in zip(sets, other, toxic) for y in [0] * int(o) + [1] * int(t)]
+    z = np.array([w[f].sum() - 1.0 for f, _ in rows])
+    y = np.array([y for _, y in rows])
+    d = (y - 1 / (1 + np.exp(-z))) * np.where(y == 1, 0.5 / pos, 0.5 / neg)
+    assert np.allclose(here.slope(w, -1.0), [*(sum(d[i] for i, (f, _) in enumerate(rows) if k in f) for k in range(9)), d.sum()])
+    share = lambda at: (y[z > at] == 1).sum() / pos - (y[z > at] == 0).sum() / neg
+    assert math.isclose(share(here.cut(w, -1.0)), max(share(at) for at in [*(z + 1e-9), z.min() - 1]))
+
+
 def test_decode_by_brute_force():
     grams = {"^^^i": 9.0, "^^id": 9.0, "^ido": 5.0, "ido$": 4.0, "^^^l": 2.0, "^^lo": 2.0, "^lo$": 2.0}
     model = toxicity.Characters(grams)

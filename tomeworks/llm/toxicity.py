@@ -5,7 +5,7 @@ character lattices: a sign may stand for letters, a repeated letter for one or t
 character model finds the likeliest reading. All other tokens have one reading, themselves.
 
 The model is logistic regression on words and word beginnings that are found in toxic documents far more often than in
-others. It is fitted on a bounded sample of labelled rows; texts are scored whole, each distinct token once per worker.
+others. It is fitted on all labelled rows; texts are scored whole, each distinct token once per worker.
 """
 
 from __future__ import annotations
@@ -13,18 +13,20 @@ from __future__ import annotations
 import bisect
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tomeworks.llm.common import col, expand, filter_by, row_udf, struct, texts, worker_cache
+from tomeworks.llm.common import Maybe, col, expand, filter_by, release, row_udf, struct, texts, worker_cache
 from tomeworks.session import discard, stored
 
-#: Labelled rows of each class that the model is fitted on, at most.
-SAMPLE_ROWS = 4000
+#: Numbers in distinct sets of features up to which the regression runs on the driver, some 40 bytes each; with more it runs in tasks.
+LOCAL_ENTRIES = 4_000_000
 ORDER = 4
 STEMS = (4, 5, 6)
 #: A feature is considered if its odds are at least this many times higher in toxic documents.
@@ -222,57 +224,172 @@ class Model:
         return self.bias + sum(self.weights[f] for f in sorted(found)), sorted(words)
 
 
-def word_features(text: Column) -> Column:
-    """Distinct words of a text and their stems, as the model names them."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1))
-    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.concat(F.array(w), *[F.when(F.length(w) >= k, F.array(F.concat(F.lit("^"), F.substring(w, 1, k)))).otherwise(F.array().cast("array<string>")) for k in STEMS]))))
+def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(y, distinct words of the text in lower case, as tokens are read when texts are scored)."""
+    for batch in batches:
+        words = [sorted(set(_LETTERS.findall(t.lower()))) for t in texts(batch["text"])]
+        yield pa.RecordBatch.from_arrays([batch["y"], pa.array(words, pa.list_(pa.string()))], ["y", "words"])
+        release()
+
+
+def named(words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[tuple[pa.Array, np.ndarray]]]:
+    """Rows and codes of all words of lists, and for words and stems of each length: (features, the feature's number for each code or -1)."""
+    flat = words.flatten().dictionary_encode()
+    known = flat.dictionary
+    size = pc.utf8_length(known).to_numpy(zero_copy_only=False)
+    kinds = [(known, np.arange(len(known)))]
+    for k in STEMS:
+        stems = pc.binary_join_element_wise("^", pc.utf8_slice_codeunits(known, 0, k), "").dictionary_encode()
+        kinds.append((stems.dictionary, np.where(size >= k, stems.indices.to_numpy(zero_copy_only=False), -1)))
+    return np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False)), flat.indices.to_numpy(zero_copy_only=False), kinds
+
+
+def feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, toxic documents, documents) of each batch of (y, words)."""
+    for batch in batches:
+        y, rows = batch["y"].to_numpy(zero_copy_only=False), max(1, len(batch))
+        row, code, kinds = named(batch["words"])
+        for features, number in kinds:
+            f = number[code]
+            pairs = np.unique((f * rows + row)[f >= 0])  # a document counts once, however many of its words share a stem
+            f, r = pairs // rows, pairs % rows
+            n, t = np.bincount(f, minlength=len(features)), np.bincount(f, y[r], len(features)).astype(np.int64)
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([features.take(pa.array(some)), pa.array(t[some]), pa.array(n[some].astype(np.int64))], ["f", "t", "n"])
+        release()
+
+
+def feature_sets(names):
+    """For mapInArrow: (numbers of a document's features among the broadcast names, as 32-bit integers in order; other, toxic documents with them)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, code, kinds = named(batch["words"])
+            n, found = max(1, len(names.value)), []
+            for features, number in kinds:
+                there = pc.fill_null(pc.index_in(features, value_set=names.value), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                f = np.append(there, -1)[number][code]
+                found.append((row * n + f)[f >= 0])
+            pairs = np.unique(np.concatenate(found))
+            ends = np.searchsorted(pairs // n, np.arange(len(batch) + 1))
+            numbers, by = (pairs % n).astype(np.int32), {}
+            for i, y in enumerate(batch["y"].to_pylist()):
+                by.setdefault(numbers[ends[i] : ends[i + 1]].tobytes(), [0, 0])[y] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.binary()), pa.array([c[0] for c in by.values()], pa.int64()), pa.array([c[1] for c in by.values()], pa.int64())], ["s", "other", "toxic"])
+            release()
+
+    return run
+
+
+class Sets:
+    """Distinct sets of features, with the numbers of toxic and other documents that have each; of a whole table, or a part of it."""
+
+    def __init__(self, table: pa.Table | pa.RecordBatch, neg: int, pos: int):
+        """Both classes weigh alike: their documents, neg and pos in all, share a half each."""
+        numbers = table["s"].to_pylist()
+        self.flat = np.frombuffer(b"".join(numbers), np.int32)
+        self.owner = np.repeat(np.arange(len(numbers)), [len(s) // 4 for s in numbers])
+        self.other, self.toxic = (table[c].to_numpy().astype(np.int64) if isinstance(table, pa.Table) else table[c].to_numpy(zero_copy_only=False) for c in ("other", "toxic"))
+        self.up, self.all = self.toxic * (0.5 / pos), self.toxic * (0.5 / pos) + self.other * (0.5 / neg)
+
+    def scores(self, w: np.ndarray, b: float) -> np.ndarray:
+        return b + np.bincount(self.owner, w[self.flat], len(self.other))
+
+    def slope(self, w: np.ndarray, b: float) -> np.ndarray:
+        """The derivative of the log likelihood by each weight, and by the bias."""
+        d = self.up - self.all / (1 + np.exp(-self.scores(w, b)))
+        return np.append(np.bincount(self.flat, d[self.owner], len(w)), d.sum())
+
+    def cut(self, w: np.ndarray, b: float) -> float:
+        return cut(self.scores(w, b), self.other, self.toxic)
+
+
+class SpreadSets:
+    """The same of a table of any size: each call is a job, of which derivatives or one row come to the driver."""
+
+    def __init__(self, table: DataFrame, neg: int, pos: int):
+        self.table, self.neg, self.pos = table, neg, pos
+
+    def mapped(self, w: np.ndarray, b: float, each, returns: str) -> DataFrame:
+        neg, pos, sent = self.neg, self.pos, self.table.sparkSession.sparkContext.broadcast((w, b))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield each(Sets(batch, neg, pos), *sent.value)
+
+        return self.table.mapInArrow(run, returns)
+
+    def slope(self, w: np.ndarray, b: float) -> np.ndarray:
+        def each(sets: Sets, w: np.ndarray, b: float) -> pa.RecordBatch:
+            g = sets.slope(w, b)
+            at = np.flatnonzero(g)
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(g[at])], ["i", "g"])
+
+        got = self.mapped(w, b, each, "i bigint, g double").groupBy("i").agg(F.sum("g").alias("g")).toArrow()  # at most one row a feature
+        out = np.zeros(len(w) + 1)
+        out[got["i"].to_numpy()] = got["g"].to_numpy()
+        return out
+
+    def cut(self, w: np.ndarray, b: float) -> float:
+        def each(sets: Sets, w: np.ndarray, b: float) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(sets.scores(w, b)), pa.array(sets.other), pa.array(sets.toxic)], ["z", "other", "toxic"])
+
+        by = self.mapped(w, b, each, "z double, other bigint, toxic bigint").groupBy("z").agg((F.sum("other") * F.lit(self.pos) - F.sum("toxic") * F.lit(self.neg)).alias("step"))
+        order = Window.orderBy("z")  # one task, which sorts distinct scores alone, on disk if need be
+        edges = by.select("z", F.sum("step").over(order).alias("gain"), F.lag("z").over(order).alias("before"), F.coalesce(F.lead("z").over(order), F.col("z") + 1).alias("next"))
+        spots = edges.select("gain", (F.col("next") - F.col("z")).alias("gap"), ((F.col("next") + F.col("z")) / 2).alias("at"))
+        first = edges.filter("before IS NULL").select(F.lit(0).cast("bigint"), F.lit(1.0), F.col("z") - 0.5)
+        return spots.union(first).orderBy(F.desc("gain"), F.desc("gap"), "at").first()["at"]
 
 
-def regression(rows: list[np.ndarray], y: np.ndarray, n: int, rounds: int = 300, rate: float = 0.1, penalty: float = 0.002) -> tuple[np.ndarray, float]:
-    """Weights, none of them negative, and bias of a logistic regression on binary features; both classes weigh alike."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    flat = np.concatenate(rows).astype(int) if len(owner) else np.empty(0, int)
+def regression(sets: Sets | SpreadSets, n: int, rounds: int = 300, rate: float = 0.1, penalty: float = 0.002) -> tuple[np.ndarray, float]:
+    """Weights, none of them negative, and bias of a logistic regression on binary features."""
     w, b = np.zeros(n), -1.0
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     m1, m2 = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, rounds + 1):
-        z = b + np.bincount(owner, w[flat], len(rows))
-        d = (y - 1 / (1 + np.exp(-z))) * share
-        g = np.append(np.bincount(flat, d[owner], n) - penalty * w / n**0.5, d.sum())
+        g = sets.slope(w, b)
+        g[:-1] -= penalty * w / max(1, n) ** 0.5
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         step = rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
         w, b = np.maximum(w + step[:-1], 0), min(b + step[-1], -0.5)
-    return w, b
+    return w, float(b)
 
 
-def cut(z: np.ndarray, y: np.ndarray) -> float:
-    """Where to cut scores so that the share of toxic rows above it less that of others is largest; the middle of the widest such gap."""
-    order = np.argsort(z, kind="stable")
-    z, y = z[order], y[order]
-    gain = np.append(0, np.cumsum(np.where(y == 0, 1 / max(1, (y == 0).sum()), -1 / max(1, (y == 1).sum()))))
+def cut(z: np.ndarray, other: np.ndarray, toxic: np.ndarray) -> float:
+    """Where to cut scores so that the share of toxic documents above it less that of others is largest; the middle of the widest such gap."""
+    z, which = np.unique(z, return_inverse=True)
+    step = np.zeros(len(z), np.int64)
+    np.add.at(step, which, other * toxic.sum() - toxic * other.sum())
+    gain = np.append(0, np.cumsum(step))
     edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
-    best = np.flatnonzero(gain >= gain.max() - 1e-12)
+    best = np.flatnonzero(gain == gain.max())
     k = best[np.argmax(edges[best + 1] - edges[best])]
     return float((edges[k] + edges[k + 1]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", rows: int = SAMPLE_ROWS) -> Model:
-    """The model from at most `rows` labelled rows of each class, those whose id hashes lowest.
+def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", local_entries: int = LOCAL_ENTRIES) -> Model:
+    """The model from all labelled rows: counts, weights and the cut.
 
     Rows without text, id or label don't count. Documents that repeat an id count once, by the first of their texts in order; an id
-    that is labelled both ways counts in both classes. Without toxic rows, or without others, nothing is toxic to the model.
+    that is labelled both ways counts in both classes. Without toxic rows, or without others, nothing is toxic to the model. To the
+    driver come character n-grams, names of features, and the distinct sets of features that documents have if these hold at most
+    local_entries numbers; else the regression's rounds run in tasks.
     """
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
+    spark = docs.sparkSession
     lab = labels.select(col(labels, id_col).alias("id"), col(labels, label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").distinct()
-    chosen = lab.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).select("id", "y")
-    # at most 2 x rows ids, so the broadcast's size is bounded by the parameter
-    sample = docs.select(col(docs, id_col).alias("id"), col(docs, text_col).alias("text")).filter("text IS NOT NULL").join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
-    found, at = stored(sample.select("id", "y", word_features(F.col("text")).alias("fs")), "features")
+    rows = docs.select(col(docs, id_col).alias("id"), col(docs, text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    kinds = {t.schema["id"].dataType.simpleString() for t in (lab, rows)}
+    if kinds in ({"bigint"}, {"string"}):  # only texts that may be labelled move
+        rows = filter_by(rows, Maybe(lab, "id").has(F.col("id")))
+    labelled = rows.join(lab, "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text")
+    places = []
     try:
+        found, at = stored(labelled.mapInArrow(distinct_words, "y int, words array<string>"), "words")
+        places.append(at)
         total = {r.y: r.n for r in found.groupBy("y").agg(F.count("*").alias("n")).collect()}
         pos, neg = total.get(1, 0), total.get(0, 0)
-        words = found.select("y", F.explode("fs").alias("f"))
-        counts = words.groupBy("f").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
+        counts, at = stored(found.mapInArrow(feature_counts, "f string, t bigint, n bigint").groupBy("f").agg(F.sum("t").alias("t"), F.sum("n").alias("n")), "counts")
+        places.append(at)
         # character n-grams of distinct words by the number of documents with the word
         edges = F.concat(F.lit("^" * (ORDER - 1)), F.col("f"), F.lit("$"))
         grams = counts.filter(~F.col("f").startswith("^")).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("f") + 1), lambda i: edges.substr(i, F.lit(ORDER)))).alias("g"), "n")
@@ -281,28 +398,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
         if not pos or not neg:
             return Model({}, -1.0, characters, "none")
         odds = ((F.col("t") + 0.5) / (pos + 1)) / ((F.col("n") - F.col("t") + 0.5) / (neg + 1))
-        candidates = counts.filter((F.col("t") >= 2) & (odds >= MIN_ODDS)).select("f")
-        hits = words_of(found).join(candidates, "f").select("id", "y", "f").collect()
-        keys = [(r.id, r.y) for r in found.select("id", "y").collect()]
+        names = sorted(counts.filter((F.col("t") >= 2) & (odds >= MIN_ODDS)).select("f").toArrow()["f"].to_pylist())
+        every = found.mapInArrow(feature_sets(spark.sparkContext.broadcast(pa.array(names, pa.string()))), "s binary, other bigint, toxic bigint")
+        sets, at = stored(every.groupBy("s").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")), "sets")
+        places.append(at)
+        entries = sets.agg(F.sum(F.length("s") / 4 + 1)).first()[0]
+        table = Sets(sets.toArrow().sort_by("s"), neg, pos) if entries <= local_entries else SpreadSets(sets, neg, pos)
+        w, b = regression(table, len(names))
+        w[w <= 0.05] = 0
+        b -= table.cut(w, b)
     finally:
-        discard(docs.sparkSession, at)
-    names = sorted({r.f for r in hits})
-    index, by = {f: i for i, f in enumerate(names)}, {k: [] for k in keys}
-    for r in hits:
-        by[r.id, r.y].append(index[r.f])
-    keys = sorted(by)
-    sets, y = [np.array(sorted(set(by[k])), int) for k in keys], np.array([y for _, y in keys])
-    w, b = regression(sets, y, len(names))
-    w[w <= 0.05] = 0
-    b -= cut(np.array([b + w[s].sum() for s in sets]), y)
+        for at in places:
+            discard(spark, at)
     weights = {f: float(x) for f, x in zip(names, w) if x}
     return Model(weights, float(b), characters, f"{hash((tuple(sorted(weights.items())), b, tuple(sorted(grams.items()))))}")
 
 
-def words_of(found: DataFrame) -> DataFrame:
-    return found.select("id", "y", F.explode("fs").alias("f"))
-
-
 def udf(model: Model):
     def call(array: pa.Array) -> pa.Array:
         known = worker_cache("toxicity-" + model.key, 150_000)
