@@ -250,6 +250,16 @@ def test_fit_is_bounded(spark):
     assert set(dicts) == {"en", "de"} and dicts["en"] == min(text(1), text(2)).encode()[: langid.DICT_BYTES] and len(dicts["de"]) > 50_000
 
 
+def test_langid_fit_counts_all_rows(spark):
+    """Words of those rows alone whose ids hash highest are in the dictionary, so are pieces of runs without spaces; the most useful come last."""
+    order = [r.id for r in spark.range(1, 341).orderBy(F.xxhash64("id"), "id").collect()]
+    table = [(i, "ein haus und ein garten " * 9 if k < 310 else "zwetschgenbaum und " * 9, "de") for k, i in enumerate(order)] + [(1000 + i, "\u732b\u304c\u597d\u304d" * 30, "ja") for i in range(30)]
+    dicts = langid.fit(spark.createDataFrame(table + [(None, "verborgen", "de"), (2000, None, "de"), (2001, "stray", "xx")], "doc_id bigint, text string, lang string"))
+    assert set(dicts) == {"de", "ja"} and dicts["de"].decode().split() == ["zwetschgenbaum", "ein", "und", "haus", "garten"]
+    assert set(dicts["ja"].decode().split()) == {("\u732b\u304c\u597d\u304d" * 2)[i : i + 4] for i in range(4)}
+    assert langid.fit(spark.createDataFrame(table, "doc_id bigint, text string, lang string"), dict_bytes=24)["de"].decode().split() == ["ein", "und", "haus", "garten"]
+
+
 def test_dictionaries_do_not_shrink_with_a_rare_label():
     rnd = random.Random(3)
     text = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(300))

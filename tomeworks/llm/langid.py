@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary made of sample texts; a text belongs to the language
-whose dictionary encodes it in the fewest bytes. Texts are cut into blocks so that a dictionary's advantage
+Each language has a raw-content zstandard dictionary of the words that save most in all its labelled texts; a text belongs to the
+language whose dictionary encodes it in the fewest bytes. Texts are cut into blocks so that a dictionary's advantage
 doesn't fade in long texts, which soon serve as their own dictionary; every block of every text counts. A block
 follows a few bytes that always compress, as zstandard stores what it can't shrink, and short texts would all cost the same.
 
@@ -10,6 +10,9 @@ Where two languages come close, the text is coded again with more effort and sho
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -17,17 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tomeworks.llm.common import col, expand, filter_by, row_udf, struct, texts, worker_cache
+from tomeworks.llm.common import col, expand, filter_by, release, row_udf, struct, texts, worker_cache
 from tomeworks.session import discard, stored
 
-#: Labelled rows that the dictionaries of a language are made of, at most.
-SAMPLE_ROWS = 300
-#: Bytes of a dictionary, at most; each language has as many as its sample fills.
+#: Bytes of a dictionary, at most; each language has as many as its words fill.
 DICT_BYTES = 112_000
 #: Labels that are told, those with the most rows, at most; so the chosen ids are bounded, and may be sent to all tasks.
 LANGUAGES = 256
-#: A label with fewer bytes of sample is no language to be told, unless none has that many.
+#: A label with fewer bytes of text is no language to be told, unless none has that many.
 MIN_BYTES = 4096
+#: Longer runs, as of scripts without spaces, count by their overlapping pieces of PIECE characters.
+LONGEST, PIECE = 20, 4
 BLOCK = 2048
 #: Effort, and shortest match if one is set; the second is for texts whose margin is under RECHECK.
 EFFORT, MORE_EFFORT = (6, None), (12, 3)
@@ -38,15 +41,67 @@ MIN_MARGIN = 0.01
 FIELDS = ["lang_pred", "margin", "accepted"]
 
 
-def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", rows=SAMPLE_ROWS, dict_bytes=DICT_BYTES) -> dict[str, bytes]:
-    """Dictionaries from at most `rows` labelled rows a language, those whose id hashes lowest.
+def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", rows: int | None = None, dict_bytes=DICT_BYTES) -> dict[str, bytes]:
+    """Dictionaries from all labelled rows, or from slices of at most `rows` a language, as sampled() says.
 
-    At most LANGUAGES labels count. Rows without a label, text or id don't count, nor do rows that repeat an id and label, but for the first of their texts in
-    order. Ids are chosen first, over id and label alone; of the chosen texts no more leaves the scan than a dictionary holds, each
-    language's is made in a task of its own, and the driver gets dictionaries alone.
+    At most LANGUAGES labels count. Rows without a label, text or id don't count; rows that repeat each count. Words are counted by the
+    rows that have them, and those with the largest product of rows and bytes fill the dictionary, the largest last, ties in order of
+    words. Counts alone are shuffled, each language's dictionary is made in a task of its own, and the driver gets dictionaries alone.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     all_ = docs.select(col(docs, id_col).alias("id"), col(docs, lang_col).cast("string").alias("lang"), col(docs, text_col).alias("text")).filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
+    if rows is not None:
+        return sampled(all_, rows, dict_bytes)
+    size = all_.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.least(F.octet_length("text"), F.lit(dict_bytes))).alias("bytes")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    names = [r.lang for r in size if r.bytes >= min(MIN_BYTES, dict_bytes)] or [r.lang for r in size]
+    if not names:
+        return {}
+    counts = all_.filter(F.col("lang").isin(names)).select("lang", "text").mapInArrow(piece_counts, "lang string, piece string, n bigint").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    gain = counts.select("lang", "piece", (F.col("n") * (F.octet_length("piece") + 1)).alias("gain"))
+    # a piece and its space have two bytes at least, so no more than these fit
+    best = gain.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("gain"), "piece"))).filter(F.col("k") <= dict_bytes // 2)
+
+    def make(table: pa.Table) -> pa.Table:
+        chosen, room = [], dict_bytes
+        for piece in table.sort_by("k")["piece"].to_pylist():
+            room -= len(piece.encode()) + 1
+            if room < 0:
+                break
+            chosen.append(piece)
+        return pa.table({"lang": table["lang"][:1], "raw": pa.array([" ".join(["", *reversed(chosen)]).encode()], pa.binary())})
+
+    made, at = stored(best.groupBy("lang").applyInArrow(make, "lang string, raw binary"), "dictionaries")
+    raw = {r.lang: bytes(r.raw) for r in made.collect()}
+    discard(docs.sparkSession, at)
+    return {k: v for k, v in sorted(raw.items()) if len(v) >= 8}
+
+
+def pieces(text: str) -> set[str]:
+    """Distinct words of a text, case folded; those of more than LONGEST characters by all their pieces of PIECE."""
+    out = set(text.casefold().split())
+    for w in [w for w in out if len(w) > LONGEST]:
+        out.remove(w)
+        out.update(w[i : i + PIECE] for i in range(len(w) - PIECE + 1))
+    return out
+
+
+def piece_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        by: dict[str, Counter] = {}
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
+            by.setdefault(lang, Counter()).update(pieces(text))
+        for lang, n in by.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["lang", "piece", "n"])
+        by.clear()
+        release()
+
+
+def sampled(all_: DataFrame, rows: int, dict_bytes: int) -> dict[str, bytes]:
+    """Dictionaries from (id, lang, text) by slices of at most `rows` rows a language, those whose id hashes lowest.
+
+    Rows that repeat an id and label count once, by the first of their texts in order. Ids are chosen first, over id and label alone;
+    of the chosen texts no more leaves the scan than a dictionary holds.
+    """
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     told_ = all_.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
     chosen = all_.select("id", "lang").join(F.broadcast(told_), "lang", "left_semi").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).select("id", "lang")
     texts = all_.withColumn("text", F.substring("text", 1, dict_bytes)).join(F.broadcast(chosen), ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text"))
@@ -58,7 +113,7 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", rows
     made, at = stored(texts.groupBy("lang").applyInArrow(make, "lang string, raw binary"), "dictionaries")
     big = made.filter(F.length("raw") >= min(MIN_BYTES, dict_bytes))
     raw = {r.lang: bytes(r.raw) for r in (big.collect() or made.collect())}
-    discard(docs.sparkSession, at)
+    discard(all_.sparkSession, at)
     return told(raw, dict_bytes)
 
 
