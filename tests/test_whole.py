@@ -2,7 +2,7 @@
 
 import pytest
 
-from tomeworks.operators import render
+from tomeworks.operators import parse, render
 from tomeworks.plans import queries
 
 DIR, FILE = render.DIRECTORY, render.STANDARD
@@ -45,3 +45,23 @@ def test_combined_is_bounded(spark, odd, monkeypatch):
     batch = odd.select(odd.content.alias("section")).toArrow().to_batches()
     with pytest.raises(ValueError, match="can't be one value"):
         list(render._joined(batch))
+
+
+def test_unpacked_rows_are_those_of_the_text(spark, odd):
+    key = lambda df: sorted(tuple(r) for r in df.select("archive_id", "pos", "rel_path", "content").collect())
+    want = key(parse.combined(spark.createDataFrame([(expected(),)], "text string")))
+    assert key(parse.combined_rows(render.combined_rows(odd))) == want and len(want) > 8 and {"a", "b", "c", "other", "open\n"} <= {w[0] for w in want}
+
+
+def test_unpacked_in_bits_of_rows(spark, odd):
+    """Sections stay whole when their rows come in batches of one."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        test_unpacked_rows_are_those_of_the_text(spark, odd)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_unpack_makes_no_text(spark, sf):
+    assert "collect_list" not in plan(queries.unpack_combined(spark, sf))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from tomeworks.operators.select import extension, quarto_or_notebook
 
 #: Characters that the format is told by.
 WINDOW = 2000
+#: What ends the name of a section or a directory.
+RULE = "\n---\n"
 
 
 def literal(s: str) -> str:
@@ -34,9 +39,12 @@ def standard(archives: DataFrame) -> DataFrame:
 
     The content keeps its trailing newlines and its escapes.
     """
-    body = _pieces(archives, STANDARD).withColumn("content", after(F.col("piece"), "\n---\n")).filter("content IS NOT NULL")
-    path = F.translate(strip(F.substring_index("piece", "\n---\n", 1)), "\\", "/")
-    return body.select("archive_id", "pos", F.regexp_replace(path, "/+", "/").alias("rel_path"), "content")
+    body = _pieces(archives, STANDARD).withColumn("content", after(F.col("piece"), RULE)).filter("content IS NOT NULL")
+    return body.select("archive_id", "pos", _cleaned(F.substring_index("piece", RULE, 1)).alias("rel_path"), "content")
+
+
+def _cleaned(path: Column) -> Column:
+    return F.regexp_replace(F.translate(strip(path), "\\", "/"), "/+", "/")
 
 
 def llm(archives: DataFrame) -> DataFrame:
@@ -68,10 +76,77 @@ def valid(text: Column) -> Column:
 def combined(archive: DataFrame) -> DataFrame:
     """(archive_id, pos, rel_path, content): both levels of a combined archive (text)."""
     outer = archive.select(F.posexplode(F.split("text", literal(DIRECTORY), -1)).alias("n", "piece")).filter("n > 0")
-    inner = outer.select(F.substring_index("piece", "\n---\n", 1).alias("archive_id"), after(F.col("piece"), "\n---\n").alias("text")).filter("text IS NOT NULL")
+    inner = outer.select(F.substring_index("piece", RULE, 1).alias("archive_id"), after(F.col("piece"), RULE).alias("text")).filter("text IS NOT NULL")
     return standard(inner)
 
 
+class _Reader:
+    """A combined archive read bit by bit: what is open goes on in the next bit, but no mark does."""
+
+    def __init__(self) -> None:
+        self.found: list[tuple[str, int, str, str]] = []
+        self.directory: str | None = None
+        self.naming, self.pos, self.open = False, 0, ""
+
+    def read(self, text: str) -> None:
+        first, *others = text.split(DIRECTORY)
+        self._inside(first)
+        for piece in others:
+            self.close()
+            self.directory, self.naming, self.open = None, True, ""
+            self._inside(piece)
+
+    def _inside(self, text: str) -> None:
+        if self.naming:
+            name, there, text = (self.open + text).partition(RULE)
+            if not there:
+                self.open = name
+                return
+            self.directory, self.naming, self.pos, self.open = name, False, 0, ""
+        first, *others = text.split(STANDARD)
+        self.open += first
+        for piece in others:
+            self.close()
+            self.pos, self.open = self.pos + 1, piece
+
+    def close(self) -> None:
+        """What is open is over: a section if it stands in a directory behind a mark and has a name."""
+        if self.directory is not None and self.pos:
+            path, there, content = self.open.partition(RULE)
+            if there:
+                self.found.append((self.directory, self.pos, path, content))
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sections of rows sorted by archive and in its order."""
+    reader = _Reader()
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if reader.found:
+            columns = [pa.array(c, t) for c, t in zip(zip(*reader.found), (pa.string(), pa.int32(), pa.string(), pa.string()))]
+            reader.found = []
+            yield pa.RecordBatch.from_arrays(columns, names=["archive_id", "pos", "path", "content"])
+
+    for b in batches:
+        for section in b["section"].to_pylist():
+            if section is not None:
+                reader.read(section)
+        yield from done()
+    reader.close()
+    yield from done()
+
+
+def combined_rows(rows: DataFrame) -> DataFrame:
+    """combined() of render.combined_rows(): the same sections, and no text of a whole archive is made.
+
+    Directories are read in order, each in one task, of which no more than a batch is in memory.
+    """
+    order = ["archive_id", "kind", "rel_path", "section"]
+    valid = rows.withColumn("section", F.make_valid_utf8("section"))
+    found = valid.repartition("archive_id").sortWithinPartitions(*order).select("section").mapInArrow(_read, "archive_id string, pos int, path string, content string")
+    return found.select("archive_id", "pos", _cleaned(F.col("path")).alias("rel_path"), "content")
+
+
 def restored(rows: DataFrame, kernel: str | None = None) -> DataFrame:
     """Rows of sections() as files: notebooks and Databricks sources of LLM archives are put together again."""
     path, content = F.col("rel_path"), F.col("content")
