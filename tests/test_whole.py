@@ -2,7 +2,7 @@
 
 import pytest
 
-from tomeworks.operators import parse, render
+from tomeworks.operators import chunk, parse, render
 from tomeworks.plans import queries
 
 DIR, FILE = render.DIRECTORY, render.STANDARD
@@ -65,3 +65,24 @@ def test_unpacked_in_bits_of_rows(spark, odd):
 
 def test_unpack_makes_no_text(spark, sf):
     assert "collect_list" not in plan(queries.unpack_combined(spark, sf))
+
+
+MARK = render.LLM
+SPLIT = [
+    ("a", "1.md", f"one two#{MARK}7: in.md\nthree{MARK}"), ("a", "2.md", None), ("a", "3.md", "x " * 30 + MARK + MARK), ("a", "4.md", ""), *[("a", f"n{i:02d}.md", "w " * i + "\u00a0\x1c") for i in range(12)],
+    ("b", f"q{MARK}.md", "path"), ("b", "r.md", "s " * 9), ("c", "c.md", None), ("c", "d e f g.md", None), (None, "n.md", "none"), ("d", "d.md", "few"), ("d", "d.md", "few"), (f"e{MARK}", "e.md", "name"), ("f", None, "no path"), ("f", "f.md", "t " * 40), ("g", None, "t"),
+]
+
+
+@pytest.mark.parametrize("most", [1, 20, 45, 70, 10**6])
+def test_split_sizes_are_those_of_the_texts(spark, most):
+    """Marks in contents, in paths and in names, words that go on over a mark, files without content or path."""
+    files = spark.createDataFrame(SPLIT, "archive_id string, rel_path string, content string")
+    texts = chunk.split(render.archives(files, True, "S").select("archive_id", "text"), most).collect()
+    got = chunk.split_sizes(files, most, "S")
+    assert sorted(tuple(r) for r in got.collect()) == sorted((r.archive_id, r.part, r.name, r.words, len(r.text)) for r in texts)
+    assert got.columns == ["archive_id", "part", "name", "words", "chars"]
+
+
+def test_split_makes_no_archives(spark, sf):
+    assert "collect_list" not in plan(queries.split_archives(spark, sf))

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeworks.functions.text import lines, words
 from tomeworks.operators.parse import literal
-from tomeworks.operators.render import LLM, STANDARD
+from tomeworks.operators.render import CONTENTS, LLM, STANDARD, archives, header, numbered, section
+from tomeworks.session import stored
 
 MAX_WORDS = 10_000
 ARCHIVE_WORDS, INGEST_WORDS = 100_000, 75_000
@@ -98,5 +99,50 @@ def split(archives: DataFrame, most: int = MAX_WORDS) -> DataFrame:
     rows = placed.groupBy("archive_id", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("s"), F.first("glue").alias("glue"))
     parts = rows.select("archive_id", "part", F.when(F.col("glue") == "\n", F.array_join("s.piece", "\n")).otherwise(F.array_join("s.piece", "")).alias("text"))
     parts = parts.filter((F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]")))
-    name = lambda p: F.when(p == 0, F.col("archive_id")).otherwise(F.concat("archive_id", F.lit("_part"), p.cast("string")))
-    return small.unionByName(parts).select("archive_id", "part", name(F.col("part")).alias("name"), "text", words(F.col("text")).alias("words"))
+    return small.unionByName(parts).select("archive_id", "part", _name(F.col("part")).alias("name"), "text", words(F.col("text")).alias("words"))
+
+
+def _name(part: Column) -> Column:
+    return F.when(part == 0, F.col("archive_id")).otherwise(F.concat("archive_id", F.lit("_part"), part.cast("string")))
+
+
+def _measured(text: Column) -> Column:
+    """Each piece of a section along LLM marks: words, characters, whether its last word goes on in the next piece."""
+    size = lambda p: F.struct(words(p).alias("words"), F.length(p).cast("bigint").alias("chars"), F.substring(p, -1, 1).rlike(r"(?U)[^\s\x1c-\x1f]").cast("bigint").alias("goes_on"))
+    pieces = F.split(text, literal(LLM), -1)
+    return F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: size(F.concat(F.lit(LLM), p)))
+
+
+def split_sizes(files: DataFrame, most: int = MAX_WORDS, stamp: str = "") -> DataFrame:
+    """(archive_id, part, name, words, chars) of split() of the LLM archives of (archive_id, rel_path, content), without making these.
+
+    Files are measured where they are read, and numbers alone are shuffled. Archives whose head holds a mark, and those without sections, are cut as texts.
+    """
+    path, head = F.col("rel_path"), F.concat(header(F.lit(stamp), F.col("archive_id"), True), F.lit(CONTENTS))
+    named = files.filter("archive_id IS NOT NULL")
+    # a section has as many words whatever its number, and a character for each digit
+    rows = named.select("archive_id", "rel_path", _measured(section(F.lit(1), path, F.col("content"), True)).alias("pieces"))
+    rows, _ = stored(numbered(rows), "sections")
+    entry = F.concat(F.col("pos").cast("string"), F.lit(". "), path)
+    heads = rows.groupBy("archive_id").agg(
+        F.sum(words(entry)).alias("words"), F.sum(F.length(entry) + 1).alias("chars"), F.max(F.coalesce(path.contains(LLM), F.lit(False))).alias("marked"), F.max(F.col("pieces").isNotNull()).alias("any"),
+    )
+    heads, _ = stored(heads.select("archive_id", (head.contains(LLM) | F.col("marked") | ~F.col("any")).alias("odd"), (words(head) + F.col("words")).alias("words"), (F.length(head) + F.col("chars") + 1).alias("chars")), "heads")
+    odd = heads.filter("odd").select("archive_id")
+    first, zero = heads.filter("NOT odd").select("archive_id", F.lit(0).cast("bigint").alias("pos"), "words", "chars", F.lit(0).cast("bigint").alias("inside")), F.lit(0).cast("bigint")
+    each = rows.select("archive_id", "pos", "pieces", F.posexplode("pieces").alias("i", "p"))
+    at = F.col("pos").cast("bigint") * 2**31 + F.col("i")
+    digits = F.when(F.col("i") == 0, F.length(F.col("pos").cast("string")) - 1).otherwise(0)
+    # a piece begins inside a word if the one before it in its section ends so; sections end in newlines
+    inside = F.when(F.col("i") > 0, F.get("pieces", F.col("i") - 1)["goes_on"]).otherwise(zero)
+    pieces = first.unionByName(each.select("archive_id", at.alias("pos"), F.col("p.words").alias("words"), (F.col("p.chars") + digits).alias("chars"), inside.alias("inside")).join(odd, "archive_id", "left_anti"))
+    whole = pieces.groupBy("archive_id").agg(F.sum(F.col("words") - F.col("inside")).alias("words"), F.sum("chars").alias("chars"))
+    small = whole.filter(F.col("words") <= most).select("archive_id", zero.alias("part"), "words", "chars")
+    placed = pieces.join(assign(pieces.withColumn("head", F.lit(0)), most), ["archive_id", "pos"]).groupBy("archive_id", "part")
+    parts = placed.agg((F.sum(F.col("words") - F.col("inside")) + F.min_by("inside", "pos")).alias("words"), F.sum("chars").alias("chars"))
+    parts = parts.filter("words > 0").join(small.select("archive_id"), "archive_id", "left_anti")
+    out = small.unionByName(parts).select("archive_id", "part", _name(F.col("part")).alias("name"), "words", "chars")
+    if not odd.limit(1).count():
+        return out
+    texts = split(archives(named.join(odd, "archive_id", "left_semi"), True, stamp).select("archive_id", "text"), most)
+    return out.unionByName(texts.select("archive_id", "part", "name", "words", F.length("text").cast("bigint").alias("chars")))
