@@ -86,3 +86,18 @@ def test_split_sizes_are_those_of_the_texts(spark, most):
 
 def test_split_makes_no_archives(spark, sf):
     assert "collect_list" not in plan(queries.split_archives(spark, sf))
+
+
+def test_pages_are_converted_once(spark, sf):
+    """Beside line ends and names of files, as many replacements as in the query that converts the same pages without a reader."""
+    count = lambda name: plan(queries.queries()[name](spark, sf)).count("regexp_replace(")
+    assert count("converted_pages") <= 1.2 * count("html_markdown")
+
+
+@pytest.mark.parametrize("code_only", [False, True])
+def test_converted_odd_files(spark, code_only):
+    """Files without content and malformed notebooks are left out, but a page has content even if it has none; root files are taken as they are."""
+    files = [("a.html", b"<p>x</p>\r\n", False), ("b.html", None, False), ("c.html", b"", False), ("r.html", b"<p>x</p>", True), ("d.ipynb", b"{", False), ("e.ipynb", None, False), ("r.ipynb", b"{", True), ("f.md", None, False), ("g.md", b"x\r\xff", False), ("h.qmd", None, False), ("i.Rmd", b"text", None)]
+    got = {r.rel_path: r.content for r in render.converted(spark.createDataFrame(files, "rel_path string, content binary, root boolean"), code_only).collect()}
+    quarto = got.pop("i.Rmd")
+    assert got == {"a.html": "x", "b.html": "", "c.html": "", "r.html": "<p>x</p>", "r.ipynb": "{", "g.md": "x\n�"} and ("# Markdown Cell 1" in quarto if code_only else quarto == "text")
